@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_of, read_archives, resolve_revisits, write_archives
+
+    folder, manifest = write_archives(table(spark, sf_dir, "pages"))
+    records = resolve_revisits(read_archives(folder, manifest, payloads=False))
+    return records.select(
+        page_of("record_id").alias("page_id"),
+        F.coalesce("response_length", F.lit(-1).cast("long")).alias("payload_bytes"),
+        F.coalesce("response_digest", F.lit("unresolved")).alias("payload_digest"),
+        "record_type",
+        page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -24,9 +38,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
