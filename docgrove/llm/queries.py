@@ -44,11 +44,20 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
