@@ -31,6 +31,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -55,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
+    "op5_best_fit": op5_best_fit,
     "op6_line_dedup": op6_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
