@@ -90,7 +90,7 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     heads = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_headers, "page_id long, payload_digest string, payload_bytes long")
     heads = save(heads.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n")))
     chosen = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("group"))
-    chosen = chosen.where("group > 1").select(F.col("payload_digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    chosen = chosen.where("group > 1").select(F.col("payload_digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")).hint("merge")
     salted = heads.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
     j = salted.join(chosen, (F.col("payload_digest") == F.col("d")) & (F.col("salt") == F.col("s")) & F.col("page_id").isNotNull(), "left")
     return j.select("page_id", "payload_digest", "payload_bytes", "n", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
@@ -233,7 +233,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     A revisit whose response is missing or has another digest gets nulls.
     """
     responses = records.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_digest").alias("_d"), F.col("payload_length").alias("_l")).where(f"_id <> '{_URN}null'")
-    wanted = responses.select("_id", "_d", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    wanted = responses.select("_id", "_d", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")).hint("merge")
     revisits = records.where("record_type = 'revisit'").withColumn("_salt", F.pmod(F.hash("record_id"), F.lit(SALTS)))
     joined = revisits.join(wanted, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")), "left")
     resolved = joined.select(*records.columns, F.col("_d").alias("response_digest"), F.col("_l").alias("response_length"))
