@@ -86,7 +86,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
     held = docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(_keys(min_chars), "doc_id long, key binary")
     held = save(held.distinct())
     frequent = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
-    frequent = frequent.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    frequent = frequent.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
     salted = held.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     drops = salted.join(frequent, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     drops = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_drops"))

@@ -91,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     bins = bins.withColumn("_open", F.col("_target") - F.sum("_sure").over(whole_w)).where("_bin IS NOT NULL")
     bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long"))).select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), "_open", "_before", "_words")
     salted = joined.withColumn("_salt", F.pmod(F.hash("_u"), F.lit(16)))
-    marks = bins.withColumn("_sl", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    marks = bins.withColumn("_sl", F.explode(F.sequence(F.lit(0), F.lit(15)))).hint("merge")
     at = salted.join(marks, (F.col("_bin") == F.col("_b")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_sl")), "left")
     state = F.when(F.col("_b").isNull() | (F.col("_before") >= F.col("_open")), 0).when(F.col("_before") + F.col("_words") <= F.col("_open"), 1).otherwise(2)
     at = at.withColumn("_state", state).drop("_s", "_salt", "_sl", "_b")
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     """Join each row to its source's figures; a hot source is spread over 16 salts."""
     left = rows.withColumn("_salt", F.pmod(F.hash("_u"), F.lit(16)))
-    right = per.withColumn("_sl", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    right = per.withColumn("_sl", F.explode(F.sequence(F.lit(0), F.lit(15)))).hint("merge")
     return left.join(right, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_sl"))).drop("_s", "_salt", "_sl")
 
 
