@@ -199,3 +199,18 @@ def uniform(*columns, seed: int) -> object:
     """A reproducible number in (0, 1) of the given columns, alike in any engine that has MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join many rows to one for each key (null equals null), a hot key being spread over ``salts`` tasks.
+
+    ``right`` holds a key once; ``spread`` names a left column of many values.
+    The salted side grows with the data, so it is merged, not broadcast.
+    """
+    names = {c: f"_r_{c}" for c in on}
+    many = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r_salt")).hint("merge")
+    few = left.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
+    match = F.col("_salt") == F.col("_r_salt")
+    for c in on:
+        match = match & few[c].eqNullSafe(many[names[c]])
+    return few.join(many, match, how).drop("_salt", "_r_salt", *names.values())

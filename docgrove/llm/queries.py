@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_near_dup_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_dups
+
+    return near_dups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import page_of, read_archives, resolve_revisits, write_archives
 
@@ -65,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup_embeddings": op1_near_dup_embeddings,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
