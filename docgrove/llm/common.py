@@ -214,3 +214,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     for c in on:
         match = match & few[c].eqNullSafe(many[names[c]])
     return few.join(many, match, how).drop("_salt", "_r_salt", *names.values())
+
+
+def class_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k1, k2, n_links, component_id) of classes of equal rows that are linked by pairs.
+
+    ``classes``: k1, k2, node, least (smallest id of its rows), copies; ``pairs``:
+    linked nodes a, b, each once. A row links with its own copies and with all
+    rows of linked classes.
+    """
+    both = pairs.selectExpr("a", "b").union(pairs.selectExpr("b", "a"))
+    linked = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
+    of = classes.join(linked, "node", "left").join(components(pairs), "node", "left")
+    of = save(of.select("k1", "k2", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "least"))
+    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return salted_join(of, first, ["component"], "k2", "inner").select("k1", "k2", "n_links", "component_id")

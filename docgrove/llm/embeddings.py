@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, salted_join, save
+from .common import class_links, salted_join, save
 from .spans import mix
 
 THRESHOLD = 0.93
@@ -209,15 +209,7 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TA
     classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("_e").alias("embedding"))
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()))
     pairs = save(near_pairs(classes, threshold, tables, probes, block))
-    both = pairs.union(pairs.selectExpr("b", "a"))
-    copies = classes.select(F.col("node").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
-    member = components(pairs)
-    of = classes.join(linked, "node", "left").join(member, "node", "left")
-    of = of.select("k1", "k2", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "least")
-    of = save(of)
-    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = salted_join(of, first, ["component"], "k2", "inner").select("k1", "k2", "n_links", "component_id")
+    of = class_links(classes, pairs)
     out = salted_join(rows.where("usable").select("vec_id", "k1", "k2", F.xxhash64("vec_id").alias("_v")), of, ["k1", "k2"], "_v", "inner")
     out = out.select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -50,6 +50,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .edits import compare_next
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_fingerprints": op8_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
