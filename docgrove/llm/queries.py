@@ -16,6 +16,12 @@ def op1_near_dup_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import page_of, read_archives, resolve_revisits, write_archives
 
@@ -78,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup_embeddings": op1_near_dup_embeddings,
+    "op2_lm_score": op2_lm_score,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit": op5_best_fit,
