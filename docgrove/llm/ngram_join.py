@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
@@ -474,3 +474,18 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, fragments: int = FRA
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("n_links").alias("n_similar"), "component_id", "k1", "k2")
     none = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), "k1", "k2")
     return out.union(none)
+
+
+def kept_documents(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of linked documents the one with the smallest doc_id.
+
+    Rows without words or with a null doc_id all stay; of rows that share the
+    smallest doc_id of a group one stays, the first by length and hash of its text.
+    """
+    near = near_documents(docs, percent, fragments, text)
+    chosen = near.where("n_shingles > 0 AND component_id IS NOT NULL").select(F.col("component_id").alias("_id")).distinct()
+    rows = docs.withColumn("_loose", F.col("doc_id").isNull() | ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    full = rows.where("NOT _loose").withColumn("_id", F.col("doc_id").cast("long")).join(chosen.hint("merge"), "_id", "left_semi")
+    first = Window.partitionBy("_id").orderBy(F.length(text), F.xxhash64(text))
+    full = full.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_id")
+    return full.unionByName(rows.where("_loose")).drop("_loose")
