@@ -92,7 +92,7 @@ def mixing_cuts(rows: DataFrame, weights: tuple[float, ...], share: float, limit
     run = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_open", F.col("_target") - F.sum("_sure").over(Window.partitionBy("_source"))).where("_bin IS NOT NULL")
     bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0).cast("long")))
-    borders = bins.where((F.col("_before") < F.col("_open")) & (F.col("_before") + F.col("_words") > F.col("_open")) | (F.col("_open") <= 0) & (F.col("_before") == 0))
+    borders = bins.where((F.col("_before") < F.col("_open")) & (F.col("_before") + F.col("_words") >= F.col("_open")) | (F.col("_open") <= 0) & (F.col("_before") == 0))
     borders = save(borders.groupBy(F.col("_source").alias("_s")).agg(F.min("_bin").alias("border"), F.min_by("_open", "_bin").alias("_open"), F.min_by("_before", "_bin").alias("_before")))
     at = _with_source(ranked.withColumn("_u", F.col("_q")), borders).where("_bin = border")
     order = Window.partitionBy("_source").orderBy("_q", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
