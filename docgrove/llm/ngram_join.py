@@ -13,15 +13,16 @@ is one shingle). Two documents link when 100 * intersection >= ``percent`` * uni
    arise; any order gives the same links. By the prefix principle, linked classes
    share a shingle among their rarest ones; pairs that meet there, pass the length
    and position bounds and don't already share an earlier one are candidates.
-4. The order is cut into ``FRAGMENTS`` ranges of equal mass. Each fragment holds
+4. The order is cut into fragments, ranges of equal mass. Each fragment holds
    its segments of all sets, counts partial overlaps of the candidate pairs by
    itself, and the counts are summed for each pair. The sum decides.
 
 Scale: nothing larger than the sketch (a fixed 16 MB) is broadcast or collected.
 Texts are shuffled once, for the classes that step 2 leaves; postings travel at 3
 to 8 bytes. Copies collapse map-side before any exchange, so a text of a third of
-the corpus costs one posting list a batch. Ranges and fragments grow in number
-with ``spark.sql.shuffle.partitions``.
+the corpus costs one posting list a batch. There are at least ``RANGES`` ranges and
+fragments, and an eighth of ``spark.sql.shuffle.partitions``; what a batch tells each
+range about its classes grows with that number until it meets the postings' own.
 
 Defined cases: null, empty or blank texts have empty sets: 0 shingles, linked
 with nothing, component their own id; rows that repeat a doc_id are documents of
@@ -36,16 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import batches_of, class_links, discard, release_shuffles, salted_join, save
+from .common import batches_of, class_links, discard, numbered, release_shuffles, salted_join, save
 
 PERCENT = 60
 SKETCH = 1 << 24
-FRAGMENTS = 8
+RANGES = 24
 BATCH_BYTES = 16 << 20
 _ONE = np.uint64(0x0123456789ABCDEF)
 _LOW24 = np.uint64(0xFFFFFF)
@@ -246,50 +248,112 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_D = "part int, fragment int, nodes binary, payload binary"
-_D_TYPES = [("part", pa.int32()), ("fragment", pa.int32()), ("nodes", pa.binary()), ("payload", pa.binary())]
+_D = "part int, q long, nodes binary, payload binary"
+_D_TYPES = [("part", pa.int32()), ("q", pa.int64()), ("nodes", pa.binary()), ("payload", pa.binary())]
 
 
-def _prefixes_and_segments(order, parts: int, percent: int):
-    """Of the remaining classes: prefix postings (fragment null) by key, and segments by fragment."""
+def _sorted_keys(t: pa.Table, o: Order) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """Of the batch's rows that hold their class's set: its dense number, size, keys in order, and how many are in no other class."""
+    sets, sizes = sets_of(t.column(0))
+    k1, k2 = set_keys(sets, sizes)
+    mine = (k1 == t.column(1).to_numpy()) & (k2 == t.column(2).to_numpy())
+    node = t.column(3).to_numpy()
+    keys = o.keys(sets)
+    border = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    for d in np.flatnonzero(mine).tolist():
+        k = np.sort(keys[border[d] : border[d + 1]])
+        yield int(node[d]), len(k), k, int(np.searchsorted(k, np.uint64(1) << np.uint64(56)))
+
+
+def _prefixes(order, parts: int, percent: int):
+    """Prefix postings of the remaining classes, by key: 32 bits of the key (a chance meeting only adds a candidate), the key before, place and size."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o: Order = Order(*order.value)
+        o = Order(*order.value)
         for t in batches_of(it, BATCH_BYTES):
-            sets, sizes = sets_of(t.column(0))
-            k1, k2 = set_keys(sets, sizes)
-            mine = (k1 == t.column(1).to_numpy()) & (k2 == t.column(2).to_numpy())
-            node = t.column(3).to_numpy().astype(np.uint64)
-            keys = o.keys(sets)
-            border = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            pre, seg = [], []
-            for d in np.flatnonzero(mine).tolist():
-                k = np.sort(keys[border[d] : border[d + 1]])
-                single = int(np.searchsorted(k, np.uint64(1) << np.uint64(56)))  # these are in no other class
-                p = k[single : prefix_length(len(k), percent)]
+            pre = []
+            for node, n, k, single in _sorted_keys(t, o):
+                p = k[single : prefix_length(n, percent)]
                 if len(p):
-                    pre.append((d, p, np.concatenate([[np.uint64(0)], p[:-1]]), np.arange(single, single + len(p))))
-                seg.append((d, k[single:]))
-            if pre:
-                owner = np.repeat([x[0] for x in pre], [len(x[1]) for x in pre])
-                key, last, at = (np.concatenate([x[i] for x in pre]) for i in (1, 2, 3))
-                to = S.mix(key) % np.uint64(parts)
-                for r in range(parts):
-                    m = to == r
-                    if m.any():
-                        yield _batch(_D_TYPES, part=[r], nodes=[squeeze((node[owner[m]], 5), (sizes[owner[m]].astype(np.uint64), 4))], payload=[squeeze((key[m], 8), (last[m], 8), (at[m].astype(np.uint64), 4))])
-            if seg:
-                owner = np.repeat([x[0] for x in seg], [len(x[1]) for x in seg])
-                key = np.concatenate([x[1] for x in seg])
-                to = o.fragment(key)
-                for v in range(o.fragments):
-                    m = to == v
-                    if m.any():
-                        yield _batch(_D_TYPES, part=[v], fragment=[v], nodes=[squeeze((node[owner[m]], 5))], payload=[squeeze((key[m], 8))])
+                    pre.append((node, n, p, np.concatenate([[np.uint64(0)], p[:-1]]), np.arange(single, single + len(p))))
+            if not pre:
+                continue
+            times = [len(x[2]) for x in pre]
+            node, n = (np.repeat(np.array([x[i] for x in pre], np.uint64), times) for i in (0, 1))
+            key, last, at = (np.concatenate([x[i] for x in pre]) for i in (2, 3, 4))
+            key = S.mix(key)
+            last = np.where(last == 0, np.uint64(0), (S.mix(last ^ np.uint64(5)) >> np.uint64(16)) | np.uint64(1))
+            to = key % np.uint64(parts)
+            by = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[by], np.arange(parts + 1, dtype=np.uint64))
+            for r in range(parts):
+                m = by[cut[r] : cut[r + 1]]
+                if len(m):
+                    yield _batch(_D_TYPES, part=[r], nodes=[squeeze((node[m], 5), (n[m], 4))], payload=[squeeze((key[m] >> np.uint64(32), 4), (last[m], 6), (at[m].astype(np.uint64), 4))])
+
+    return run
+
+
+def _segments(order):
+    """All keys of classes in candidate pairs that others hold too, by fragment."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        o = Order(*order.value)
+        for t in batches_of(it, BATCH_BYTES):
+            seg = [(node, k[single:]) for node, _, k, single in _sorted_keys(t, o)]
+            if not seg:
+                continue
+            node = np.repeat(np.array([x[0] for x in seg], np.uint64), [len(x[1]) for x in seg])
+            key = np.concatenate([x[1] for x in seg])
+            to = o.fragment(key)
+            for v in range(o.fragments):
+                m = to == v
+                if m.any():
+                    yield _batch(_D_TYPES, part=[v], q=[-1], nodes=[squeeze((node[m], 5))], payload=[squeeze((key[m], 7))])
 
     return run
 
 
+BLOOM_BITS = 1 << 25
+
+
+def _bloom_places(x: np.ndarray) -> np.ndarray:
+    h = S.mix(x.astype(np.int64).view(np.uint64) ^ np.uint64(0xB100))
+    mask = np.uint64(BLOOM_BITS - 1)
+    return np.concatenate([h & mask, (h >> np.uint64(32)) & mask]).astype(np.int64)
+
+
+def _bloom(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for b in it:
+        if b.schema.field(0).type == pa.binary():
+            for x in b.column(0).to_pylist():
+                bits |= np.frombuffer(pa.decompress(x, len(bits), codec="zstd", asbytes=True), np.uint8)
+        else:
+            at = _bloom_places(b.column(0).drop_null().to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["bits"])
+
+
+def possible_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among ``ids``, by a Bloom filter of a fixed 4 MB; all rows with a null one.
+
+    It only spares the join that follows: rows it lets through by chance find no partner there.
+    """
+    got = ids.mapInArrow(_bloom, "bits binary").coalesce(1).mapInArrow(_bloom, "bits binary").first()
+    shared = rows.sparkSession.sparkContext.broadcast(got["bits"] if got else pa.compress(bytes(BLOOM_BITS // 8), codec="zstd", asbytes=True))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(pa.decompress(shared.value, BLOOM_BITS // 8, codec="zstd", asbytes=True), np.uint8)
+        for b in it:
+            x = b.column(0)
+            at = _bloom_places(pa.compute.fill_null(x, 0).to_numpy(zero_copy_only=False))
+            hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(0)
+            yield b.filter(pa.array(hit | pa.compute.is_null(x).to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _candidates(percent: int):
     """Pairs of classes that first meet at a common prefix shingle within the bounds of length and position."""
 
@@ -342,7 +406,9 @@ def _to_fragments(fragments: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me, k = TaskContext.get().partitionId(), 0
         for t in batches_of(it, 8 << 20):
-            block = squeeze((t.column(0).to_numpy().astype(np.uint64), 5), (t.column(1).to_numpy().astype(np.uint64), 5))
+            a, b = (t.column(i).to_numpy().astype(np.uint64) for i in (0, 1))
+            by = np.lexsort((b, a))
+            block = squeeze((np.diff(a[by], prepend=np.uint64(0)), 5), (b[by], 5))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(fragments), pa.int32()), pa.array([(me << 32) + k] * fragments, pa.int64()), pa.nulls(fragments, pa.binary()), pa.array([block] * fragments, pa.binary())], ["part", "q", "nodes", "payload"]
             )
@@ -351,6 +417,12 @@ def _to_fragments(fragments: int):
     return run
 
 
+def _pairs(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs sorted by their first node."""
+    a, b = unsqueeze(block, 2)
+    return np.cumsum(a).astype(np.int64), b.astype(np.int64)
+
+
 def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of the candidate pairs within one fragment."""
     blocks: list[tuple[int, int, bytes]] = []
@@ -366,11 +438,14 @@ def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     nodes = np.concatenate([*node, np.zeros(0, np.uint64)]).astype(np.int64)
     keys = np.concatenate([*key, np.zeros(0, np.uint64)])
+    del node, key
     order = np.lexsort((keys, nodes))
     nodes, keys = nodes[order], keys[order]
+    del order
     fresh = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (keys[1:] != keys[:-1])])[: len(nodes)]  # rows may repeat a class
     nodes, keys = nodes[fresh], keys[fresh]
-    ranks = np.unique(keys, return_inverse=True)[1]
+    ranks = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+    del keys
     present, start = np.unique(nodes, return_index=True)
     end = np.append(start[1:], len(nodes))
     mark = np.full(int(ranks.max(initial=0)) + 1, -1, np.int64)
@@ -382,12 +457,11 @@ def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.where(present[i] == x, i, -1)
 
     for v, q, payload in blocks:
-        a, b = (x.astype(np.int64) for x in unsqueeze(payload, 2))
-        by = np.argsort(a, kind="stable")
-        pa_, pb = place(a[by]), place(b[by])
+        a, b = _pairs(payload)
+        pa_, pb = place(a), place(b)
         out = np.zeros(len(a), np.int64)
         group = np.flatnonzero(np.concatenate([[True], pa_[1:] != pa_[:-1]]))
-        for lo, hi in zip(group.tolist(), [*group[1:].tolist(), len(by)]):
+        for lo, hi in zip(group.tolist(), [*group[1:].tolist(), len(a)]):
             x = pa_[lo]
             if x < 0:
                 continue
@@ -400,8 +474,7 @@ def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = mark[ranks[i]] == x
                 out[at + has] = np.bincount(np.repeat(np.arange(len(has)), size)[hit], minlength=len(has))
             mark[ranks[start[x] : end[x]]] = -1
-        counts = np.zeros(len(a), np.uint64)
-        counts[by] = out.astype(np.uint64)
+        counts = out.astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([squeeze((counts, 4))], pa.binary()), pa.array([payload if v == 0 else None], pa.binary())], ["q", "counts", "pairs"])
 
 
@@ -415,15 +488,16 @@ def _sum_overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[0] = c if own[0] is None else own[0] + c
             own[1] = pairs or own[1]
     for total, pairs in held.values():
-        a, b = unsqueeze(pairs, 2)
+        a, b = _pairs(pairs)
         some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(a[some].astype(np.int64)), pa.array(b[some].astype(np.int64)), pa.array(total[some])], ["a", "b", "overlap"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some]), pa.array(total[some])], ["a", "b", "overlap"])
 
 
-def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | None = None, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: doc_id, n, k1, k2; classes: k1, k2, node, least, copies, n; linked pairs of nodes: a, b, overlap)."""
     spark = docs.sparkSession
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    parts = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    fragments = fragments or parts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counted = rows.mapInArrow(_count_postings(parts), _A).repartitionById(parts, F.col("part"))
     counted = save(counted.mapInArrow(_count_range(parts), _B), "kind")
@@ -435,8 +509,6 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int = FRA
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()))
     may = classes.where(F.coalesce(100 * F.col("shared") >= percent * F.col("n"), F.lit(False))).select("node", "k1", "k2", F.col("least").alias("_rep"))
     # dense numbers of the classes that may link: they travel in packed columns
-    from .common import numbered
-
     may, n_may = numbered(may, ["node"], "dense")
     if n_may >= 1 << 32:
         raise ValueError("more than 2**32 classes: split the corpus by language or site first")
@@ -447,25 +519,30 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int = FRA
         cells[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["cells"], np.uint8)
         mass += np.frombuffer(r["mass"], "<i8")
     order = spark.sparkContext.broadcast((cells, mass, parts, fragments))
-    texts = rows.join(may.hint("merge"), rows["doc_id"].eqNullSafe(may["_rep"])).select("text", "k1", "k2", "dense")
-    packed = save(texts.mapInArrow(_prefixes_and_segments(order, parts, percent), _D).withColumn("prefix", F.col("fragment").isNull().cast("int")), "prefix")
-    release_shuffles(spark)
-    met = packed.where("prefix = 1").select("part", "fragment", "nodes", "payload").repartitionById(parts, F.col("part"))
+
+    def texts(of: DataFrame) -> DataFrame:
+        some = possible_rows(rows, of.select("_rep"))
+        return some.join(of.hint("merge"), some["doc_id"].eqNullSafe(of["_rep"])).select("text", "k1", "k2", "dense")
+
+    met = texts(may).mapInArrow(_prefixes(order, parts, percent), _D).repartitionById(parts, F.col("part"))
     met = save(met.mapInArrow(_candidates(percent), "a long, b long").distinct())
-    to_all = met.mapInArrow(_to_fragments(fragments), "part int, q long, nodes binary, payload binary")
-    segments = packed.where("prefix = 0").select("part", F.lit(-1).cast("long").alias("q"), "nodes", "payload")
+    release_shuffles(spark)
+    paired = met.select(F.col("a").alias("dense")).union(met.select("b")).distinct()
+    paired = save(may.join(paired, "dense", "left_semi"))
+    to_all = met.mapInArrow(_to_fragments(fragments), _D)
+    segments = texts(paired).mapInArrow(_segments(order), _D)
     partial = segments.union(to_all).repartitionById(fragments, F.col("part")).mapInArrow(_overlaps, "q long, counts binary, pairs binary")
     overlap = partial.repartition(parts, "q").mapInArrow(_sum_overlaps, "a long, b long, overlap long")
     sized = may.join(classes.select("node", "n"), "node").select("dense", "node", "n")
     linked = overlap.join(sized.select(F.col("dense").alias("a"), F.col("node").alias("na"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("dense").alias("b"), F.col("node").alias("nb"), F.col("n").alias("n_b")), "b")
     linked = linked.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
     pairs = save(linked.select(F.col("na").alias("a"), F.col("nb").alias("b"), "overlap"))
-    discard(packed, met)
+    discard(met, paired)
     release_shuffles(spark)
     return documents, classes, pairs
 
 
-def near_documents(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, text: str = "text") -> DataFrame:
+def near_documents(docs: DataFrame, percent: int = PERCENT, fragments: int | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id, and the set's keys k1 and k2, for each document."""
     documents, classes, pairs = linked_classes(docs, percent, fragments, text)
     of = class_links(classes.select("k1", "k2", "node", "least", "copies"), pairs)
@@ -476,7 +553,7 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, fragments: int = FRA
     return out.union(none)
 
 
-def kept_documents(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, text: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, percent: int = PERCENT, fragments: int | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group of linked documents the one with the smallest doc_id.
 
     Rows without words or with a null doc_id all stay; of rows that share the
