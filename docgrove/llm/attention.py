@@ -113,11 +113,9 @@ def _mask(window: int, stride: int) -> np.ndarray:
     return _masks[window, stride]
 
 
-def _sums(classes: int) -> np.ndarray:
-    """Columns that sum all classes, and those of word starts and the end (the first half)."""
-    out = np.ones((classes, 2), np.float32)
-    out[_starting(classes) :, 1] = 0
-    return out
+def _longest(x: np.ndarray) -> float:
+    """The largest norm of the last axis: two of these bound all inner products."""
+    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0.0)))
 
 
 def _starting(classes: int) -> int:
@@ -142,21 +140,24 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, stride: int = STRIDE) ->
     np.matmul(flat, p["v"], out=v[:, :d])
     v = v.reshape(n, t, d + 1)
     a = q @ k.transpose(0, 2, 1)
-    if max(a.max(), -a.min()) > LIMIT:
+    if _longest(q) * _longest(k) > LIMIT and max(a.max(), -a.min()) > LIMIT:
         np.clip(a, -LIMIT, LIMIT, out=a)
     np.exp(a, out=a)
     a *= _mask(t, stride)
     c = (a @ v).reshape(-1, d + 1)
     weight = c[:, d:].reshape(n, stride, 1)
     c = c[:, :d] / c[:, d:]
-    h = c @ p["o"]
-    h += tail
-    e = h @ p["u"]
-    e += p["b"]
-    if max(e.max(), -e.min()) > LIMIT:
+    h = np.ones((n * stride, d + 1), np.float32)  # the last column carries the bias
+    np.matmul(c, p["o"], out=h[:, :d])
+    h[:, :d] += tail
+    out = np.vstack([p["u"], p["b"]])
+    e = h @ out
+    if _longest(h) * _longest(out.T) > LIMIT and max(e.max(), -e.min()) > LIMIT:
         np.clip(e, -LIMIT, LIMIT, out=e)
     np.exp(e, out=e)
-    return e, e @ _sums(e.shape[1]), (x, tail, q, k, v, a, weight, c, h)
+    ones = np.ones(e.shape[1], np.float32)
+    some = _starting(e.shape[1])
+    return e, np.stack([e @ ones, e[:, :some] @ ones[:some]], 1), (x, tail, q, k, v, a, weight, c, h)
 
 
 def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: tuple, target: np.ndarray, valid: np.ndarray, stride: int = STRIDE) -> dict[str, np.ndarray]:
@@ -167,7 +168,8 @@ def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: t
     g = e
     g *= (factor / total[:, 0])[:, None]
     g[np.arange(len(g)), target] -= factor
-    out = {"u": h.T @ g, "b": g.sum(0)}
+    both = h.T @ g
+    out = {"u": both[:-1], "b": both[-1]}
     dh = g @ p["u"].T
     out["o"] = c.T @ dh
     dc = dh @ p["o"].T
@@ -205,8 +207,8 @@ class Trainer:
 
     def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> None:
         """One batch of windows; the rate falls as 1 / sqrt(1 + step / 200)."""
-        e, total, kept = forward(self.p, rows)
-        grads = backward(self.p, e, total, kept, target, valid)
+        e, total, kept = forward(self.p, rows, rows.shape[1])
+        grads = backward(self.p, e, total, kept, target, valid, rows.shape[1])
         self.t += 1
         rate = self.rate / np.sqrt(1 + self.t / 200)
         for k, m in self.m.items():
@@ -224,18 +226,18 @@ class Trainer:
 
 
 def train_stream(p: dict[str, np.ndarray], batches, classes: Classes, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
-    """One pass over all windows of (ids, border) batches; the new parameters and the targets seen."""
+    """One pass over all targets of (ids, border) batches, in windows side by side; the new parameters and the targets seen."""
     own = Trainer(p)
     seen = 0
-    span = np.arange(STRIDE)
+    span = np.arange(WINDOW)
     rng = np.random.Generator(np.random.PCG64(5))
     for ids, border in batches:
-        at, size, doc = windows(border)
+        at, size, doc = windows(border, WINDOW, WINDOW)
         order = rng.permutation(len(at))
         cls = classes.of[ids]
         for lo in range(0, len(order), batch):
             w = order[lo : lo + batch]
-            rows = inputs_of(ids, at[w], border[doc[w]])
+            rows = inputs_of(ids, at[w], border[doc[w]], WINDOW, WINDOW)
             valid = (span < size[w][:, None]).reshape(-1)
             target = cls[np.minimum(at[w][:, None] + span, len(ids) - 1)].reshape(-1)
             own.step(rows, target, valid)

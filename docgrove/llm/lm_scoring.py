@@ -44,7 +44,7 @@ from . import spans as S
 from .common import batches_of, release_shuffles, save
 from .ngram_join import squeeze, unsqueeze
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 LAMBDA = 0.75
 ROUNDS = 2
 END = 50256
