@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 GLOB_WORD = r"[\p{L}\p{N}_]+[\p{L}\p{N}_*?]*"
 #: Words too common to be indexed.
-STOP_WORDS = tuple("a and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-_TAG = r"(<[^<>]*>|&[A-Za-z]+;)"
+STOP_WORDS = tuple("there these their such with will then into this that they and the are for was not but be if of in on no to or as is at it by a".split())
+_TAG = r"(?:<[^<>]*>)|(?:&[A-Za-z]+;)"
 
 
 class Step:
