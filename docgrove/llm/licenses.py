@@ -63,13 +63,13 @@ TEMPLATES = (
         "bsd-3-clause",
         "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted<<beginOptional>> (subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
         "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution. <<var;name=bullet3;min=0;max=1>> Neither the name of <<var;name=organisation;min=1;max=20>> nor the names of its contributors may be used",
+        "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution. <<var;name=bullet3;min=0;max=1>> Neither the name of <<var;name=organisation;min=1;max=20>> nor the names of its contributors may be used",
     ),
     (
         "bsd-2-clause",
         "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted<<beginOptional>> (subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
         "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+        "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
     ),
 )
 
