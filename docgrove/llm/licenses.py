@@ -5,7 +5,10 @@ license templates in SPDX-style markup are compiled to token automata:
 ``<<beginOptional>>...<<endOptional>>`` regions may be left out and
 ``<<var;name=...;min=A;max=B>>`` regions match A to B arbitrary words. A text is
 accepted for a template where, from some word on, all mandatory words stand
-exactly, in order, with nothing between them but what the markup allows.
+exactly, in order, with nothing between them but what the markup allows. Templates
+of whole licenses run to the end of their disclaimers, so a license that only
+begins like another isn't taken for it; at ``<<textMayEnd>>`` (MIT) a text that is
+cut off there is accepted, one that goes on must go on as the template does.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` with A-Z lower-cased, so
 punctuation and line breaks don't matter. All words of a batch are found and
@@ -36,6 +39,18 @@ from . import spans as S
 
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
+_BSD = (
+    "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
+    "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution."
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;name=holder;min=1;max=20>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL <<var;name=liable;min=1;max=20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+
 #: (label, template): short notices and whole license texts, in SPDX template markup.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\"); you may not use this file except in compliance with the License<<endOptional>>"),
@@ -52,28 +67,22 @@ TEMPLATES = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=software;min=1;max=8>> (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
         "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies "
-        "or substantial portions of <<var;name=work;min=1;max=4>>. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+        "or substantial portions of <<var;name=work;min=1;max=4>>. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED<<textMayEnd>>, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=holder;min=1;max=20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     ),
     (
         "isc",
         "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
-        "and this permission notice appear in all copies",
-    ),
-    (
-        "bsd-3-clause",
-        "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted<<beginOptional>> (subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution. <<var;name=bullet3;min=0;max=1>> Neither the name of <<var;name=organisation;min=1;max=20>> nor the names of its contributors may be used",
-    ),
-    (
-        "bsd-2-clause",
-        "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted<<beginOptional>> (subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;name=holder;min=1;max=20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=liable;min=1;max=20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
     ),
+    ("bsd-3-clause", f"{_BSD} <<var;name=bullet3;min=0;max=1>> Neither the name of <<var;name=organisation;min=1;max=20>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}"),
+    ("bsd-2-clause", f"{_BSD} {_BSD_DISCLAIMER}"),
 )
 
-_MARK = re.compile(r"<<(beginOptional|endOptional|var[^>]*)>>")
+_MARK = re.compile(r"<<(beginOptional|endOptional|textMayEnd|var[^>]*)>>")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -98,6 +107,7 @@ class Automaton:
         self.any_word: list[list[int]] = [[]]
         self.free: list[list[int]] = [[]]
         self.mandatory: list[str] = []
+        self.may_end: set[int] = set()  # states accepted where the text ends there
         at, opened, last = 0, [], 0
         parts = _MARK.split(template)
         for i, part in enumerate(parts):
@@ -117,6 +127,8 @@ class Automaton:
                 self.free[at].append(nxt)
                 self.free[opened.pop()].append(nxt)
                 at = nxt
+            elif part == "textMayEnd":
+                self.may_end.add(at)
             else:
                 found = dict(x.split("=", 1) for x in part.split(";")[1:])
                 low, high = int(found.get("min", 0)), int(found.get("max", 10))
@@ -151,6 +163,8 @@ class Automaton:
                 depth += 1
             elif part == "endOptional":
                 depth -= 1
+            elif part == "textMayEnd":
+                continue
             else:
                 lead += int(dict(x.split("=", 1) for x in part.split(";")[1:]).get("max", 10))
         raise ValueError("no mandatory words")
@@ -166,7 +180,7 @@ class Automaton:
 
     def accepts(self, words: Iterator[str]) -> int:
         """Words of the shortest accepted run from here, or 0."""
-        states = self.closure({0})
+        states, n = self.closure({0}), 0
         for n, w in enumerate(words, 1):
             nxt = set()
             for s in states:
@@ -178,7 +192,7 @@ class Automaton:
             states = self.closure(nxt)
             if self.final in states:
                 return n
-        return 0
+        return n if states & self.may_end else 0
 
 
 AUTOMATA = tuple(Automaton(label, t) for label, t in TEMPLATES)

@@ -380,6 +380,33 @@ def test_licenses(spark, docs, corpus, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def labels_of(text):
+    from docgrove.llm import spans as S
+    import pyarrow as pa
+
+    return licenses.scan(*S.flat(pa.array([text])))["labels"][0]
+
+
+MIT_END = ", INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
+ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+CURL_END = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT OF THIRD PARTY RIGHTS."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+CLEAR = "NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE. "
+
+
+def test_whole_licenses_match_to_their_end():
+    assert labels_of(MIT + MIT_END) == labels_of("x\n" + MIT + MIT_END + " more") == labels_of(MIT) == "mit"
+    assert labels_of(MIT + MIT_END.replace("IN NO EVENT", "IN ANY EVENT")) == labels_of(MIT + " and other terms") == ""
+    assert (labels_of(ISC + ISC_END), labels_of(ISC + CURL_END), labels_of(ISC)) == ("isc", "", "")
+    assert (labels_of(BSD + BSD_NAME + BSD_END), labels_of(BSD + BSD_END)) == ("bsd-3-clause", "bsd-2-clause")
+    clear = BSD.replace("permitted", "permitted (subject to the limitations in the disclaimer below)")
+    assert labels_of(clear + BSD_NAME + CLEAR + BSD_END) == labels_of(BSD + BSD_NAME + CLEAR + BSD_END) == labels_of(clear + BSD_NAME + BSD_END) == ""
+    assert labels_of(BSD + BSD_END.replace("SUCH DAMAGE", "IT")) == labels_of(BSD + BSD_NAME) == ""
+
+
 def test_automata():
     a = licenses.Automaton("x", "Copyright <<var;name=who;min=1;max=3>> may use<<beginOptional>> and<<beginOptional>> freely<<endOptional>> copy<<endOptional>> it")
 
