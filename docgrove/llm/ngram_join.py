@@ -202,15 +202,17 @@ def _count_range(ranges: int):
             keys, top = [], 0
             for (payload, _), t in zip(held, tables):
                 delta, owner = unsqueeze(payload, 2)
-                keys.append((np.cumsum(delta) << np.uint64(40)) | dense[top + owner.astype(np.int64)].astype(np.uint64))
+                row = top + owner.astype(np.int64)
+                once = first[dense[row]] == row  # of batches that hold a class one counts, with all its shingles
+                keys.append((np.cumsum(delta)[once] << np.uint64(40)) | dense[row[once]].astype(np.uint64))
                 top += len(t[0])
             key = np.sort(np.concatenate(keys))
             del keys, held
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
             fp = key >> np.uint64(40)
             start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-            count = np.diff(np.append(start, len(fp)))
-            shared = np.repeat(count > 1, count)
+            other = np.concatenate([[True], key[1:] != key[:-1]])
+            count = np.add.reduceat(other.astype(np.int64), start)  # classes of each print, of which one may hold several shingles
+            shared = np.repeat(count > 1, np.diff(np.append(start, len(fp))))
             of_class = np.bincount((key[shared] & np.uint64((1 << 40) - 1)).astype(np.int64), minlength=len(k1))
             some = np.flatnonzero(of_class)
             for lo in range(0, len(some), 100_000):

@@ -322,6 +322,19 @@ def test_ngram_join_on_random_near_copies(spark):
         assert {r["doc_id"]: r["n_similar"] for r in ngram_join.near_documents(df, fragments=fragments).collect()} == {i: links[i] for i in sets}
 
 
+def test_ngram_join_keeps_long_documents_with_equal_prints(spark, monkeypatch):
+    # one range: some of 20,000 shingles share the 24 bits that tell shingles apart when they are counted
+    monkeypatch.setattr(ngram_join, "RANGES", 1)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        w = [f"w{i}" for i in range(20_001)]
+        df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:12_001])), (3, " ".join(w[:12_000]))], "doc_id long, text string")
+        assert sorted(map(tuple, ngram_join.near_documents(df).select("doc_id", "n_shingles", "n_similar").collect())) == [(1, 20_000, 1), (2, 12_000, 2), (3, 11_999, 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
 # 8
 
 
