@@ -207,8 +207,8 @@ class Trainer:
 
     def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> None:
         """One batch of windows; the rate falls as 1 / sqrt(1 + step / 200)."""
-        e, total, kept = forward(self.p, rows, rows.shape[1])
-        grads = backward(self.p, e, total, kept, target, valid, rows.shape[1])
+        e, total, kept = forward(self.p, rows)
+        grads = backward(self.p, e, total, kept, target, valid)
         self.t += 1
         rate = self.rate / np.sqrt(1 + self.t / 200)
         for k, m in self.m.items():
@@ -226,18 +226,18 @@ class Trainer:
 
 
 def train_stream(p: dict[str, np.ndarray], batches, classes: Classes, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
-    """One pass over all targets of (ids, border) batches, in windows side by side; the new parameters and the targets seen."""
+    """One pass over all targets of (ids, border) batches, in the windows that scoring uses; the new parameters and the targets seen."""
     own = Trainer(p)
     seen = 0
-    span = np.arange(WINDOW)
+    span = np.arange(STRIDE)
     rng = np.random.Generator(np.random.PCG64(5))
     for ids, border in batches:
-        at, size, doc = windows(border, WINDOW, WINDOW)
+        at, size, doc = windows(border)
         order = rng.permutation(len(at))
         cls = classes.of[ids]
         for lo in range(0, len(order), batch):
             w = order[lo : lo + batch]
-            rows = inputs_of(ids, at[w], border[doc[w]], WINDOW, WINDOW)
+            rows = inputs_of(ids, at[w], border[doc[w]])
             valid = (span < size[w][:, None]).reshape(-1)
             target = cls[np.minimum(at[w][:, None] + span, len(ids) - 1)].reshape(-1)
             own.step(rows, target, valid)

@@ -120,3 +120,15 @@ def test_training_learns():
     for _ in range(3):
         p, seen = A.train_stream(p, [(ids, border)], classes)
     assert seen == 4000 and A.log_probs(p, ids, border, classes)[0].mean() > before + 0.5 and rng is not None
+
+
+def test_training_sees_the_windows_that_scoring_uses(monkeypatch):
+    ids = np.arange(1, 200, dtype=np.int64)
+    border = np.array([0, 1, 90, 199])
+    classes = A.Classes(np.arange(300) % A.CLASSES, np.zeros(300), np.arange(A.CLASSES) < A.CLASSES // 2)
+    seen, forward = [], A.forward
+    monkeypatch.setattr(A, "forward", lambda p, rows, stride=A.STRIDE: seen.extend((stride, tuple(x)) for x in rows.tolist()) or forward(p, rows, stride))
+    A.train_stream(A.begin(300), [(ids, border)], classes)
+    trained, seen = sorted(seen), seen.clear() or seen
+    A.log_probs(A.begin(300), ids, border, classes)
+    assert trained == sorted(seen) and len(trained) == 1 + 3 + 4
