@@ -1,9 +1,11 @@
 """A causal self-attention language model in numpy.
 
-One attention layer over subword ids predicts the class of the next id; an id's
-share of its class comes from corpus counts. Ids of a class follow alike
-contexts (they are clustered by what stands before them), so the context decides
-the class and the counts the rest. Classes hold either word starts and the end,
+One attention layer over subword ids predicts the next id by a softmax of two
+levels: its class, then the id among the ids of its class that training holds,
+both from the same hidden row. Ids of a class follow alike contexts (they are
+clustered by what stands before them); within it, corpus counts are the start
+and what the second level learns is added. Ids that training lacks keep their
+smoothed share of the class. Classes hold either word starts and the end,
 or continuations, never both, so the probability that a word ends is a sum of
 classes.
 
@@ -32,6 +34,18 @@ class Classes:
     of: np.ndarray  # class of each id
     inside: np.ndarray  # log10 of an id's share of its class
     word_start: np.ndarray  # classes that start a word or end the text
+    seen: np.ndarray | None = None  # ids that training holds; all if None
+
+    def __post_init__(self) -> None:
+        ids = np.arange(len(self.of)) if self.seen is None else np.flatnonzero(self.seen)
+        k = len(self.word_start)
+        self.order = ids[np.argsort(self.of[ids], kind="stable")]  # seen ids by class
+        self.start = np.searchsorted(self.of[self.order], np.arange(k + 1))
+        self.place = np.full(len(self.of), -1, np.int64)  # of each id in ``order``
+        self.place[self.order] = np.arange(len(self.order))
+        self.share = (self.inside[self.order] * np.log(10)).astype(np.float32)
+        kept = np.bincount(self.of[self.order], 10.0 ** self.inside[self.order], minlength=k)
+        self.kept = np.log10(np.maximum(kept, 1e-30))  # log10 of what the seen ids of a class hold of it
 
 
 def cluster(counts: np.ndarray, starts: np.ndarray, classes: int = CLASSES, rounds: int = 12, seed: int = 2) -> Classes:
@@ -66,7 +80,7 @@ def cluster(counts: np.ndarray, starts: np.ndarray, classes: int = CLASSES, roun
     inside = np.log10(smooth / np.bincount(of, smooth, minlength=classes)[of])
     word_start = np.zeros(classes, bool)
     word_start[:some] = True
-    return Classes(of, inside, word_start)
+    return Classes(of, inside, word_start, seen)
 
 
 def begin(ids: int, dim: int = DIM, classes: int = CLASSES, window: int = WINDOW, seed: int = 3) -> dict[str, np.ndarray]:
@@ -80,6 +94,11 @@ def begin(ids: int, dim: int = DIM, classes: int = CLASSES, window: int = WINDOW
     return p
 
 
+def begin_inside(classes: Classes, dim: int = DIM) -> dict[str, np.ndarray]:
+    """The second level's parameters, a row and a bias for each seen id by class: at first the counts' shares."""
+    return {"w": np.zeros((len(classes.order), dim + 1), np.float32)}
+
+
 def windows(border: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First target, number of targets and document of every window over documents' targets."""
     size = np.diff(border)
@@ -160,8 +179,8 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, stride: int = STRIDE) ->
     return e, np.stack([e @ ones, e[:, :some] @ ones[:some]], 1), (x, tail, q, k, v, a, weight, c, h)
 
 
-def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: tuple, target: np.ndarray, valid: np.ndarray, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over valid targets; ``e`` is overwritten."""
+def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: tuple, target: np.ndarray, valid: np.ndarray, stride: int = STRIDE, more: np.ndarray | float = 0.0) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy over valid targets; ``e`` is overwritten, ``more`` is added to the hidden rows' own."""
     x, tail, q, k, v, a, weight, c, h = kept
     n, t, d = x.shape
     factor = (valid / max(int(valid.sum()), 1)).astype(np.float32)
@@ -170,7 +189,7 @@ def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: t
     g[np.arange(len(g)), target] -= factor
     both = h.T @ g
     out = {"u": both[:-1], "b": both[-1]}
-    dh = g @ p["u"].T
+    dh = g @ p["u"].T + more
     out["o"] = c.T @ dh
     dc = dh @ p["o"].T
     along = (dc * c).sum(1).reshape(n, stride, 1)
@@ -195,20 +214,58 @@ def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: t
     return out
 
 
+def within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
+    """Probabilities among their class's seen ids for hidden rows ``h``, a class at a time: rows, their hidden rows, the class's span of ``w``, probabilities, columns of ``ids``.
+
+    Left out are ids not seen and those alone in their class.
+    """
+    place = classes.place[ids]
+    k = np.where(place >= 0, classes.of[ids], -1)
+    k[np.diff(classes.start)[k] < 2] = -1
+    rows = np.argsort(k, kind="stable")
+    rows = rows[np.searchsorted(k, 0, sorter=rows) :]
+    cut = np.searchsorted(k[rows], np.arange(len(classes.start)))
+    flat, column = h[rows], place[rows]
+    for c in np.flatnonzero(np.diff(cut)).tolist():
+        i, j, lo, hi = cut[c], cut[c + 1], classes.start[c], classes.start[c + 1]
+        z = flat[i:j] @ w[lo:hi].T
+        z += classes.share[lo:hi]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        yield rows[i:j], flat[i:j], slice(lo, hi), z, column[i:j] - lo
+
+
+def backward_within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the second level's mean cross-entropy over valid targets: of ``w`` and of the hidden rows."""
+    dw, dh = np.zeros_like(w), np.zeros((len(h), h.shape[1] - 1), h.dtype)
+    real = np.flatnonzero(valid)
+    factor = h.dtype.type(1 / max(len(real), 1))
+    for rows, own, span, z, column in within(w, h[real], ids[real], classes):
+        z[np.arange(len(z)), column] -= 1
+        z *= factor
+        dw[span] = z.T @ own
+        dh[real[rows]] = z @ w[span, :-1]
+    return dw, dh
+
+
 class Trainer:
-    """Adam on the dense parts, Adagrad on the rows of the input table that a batch meets."""
+    """Adam on the dense parts, Adagrad on the rows of the input table and of the second level that a batch meets."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01) -> None:
+    def __init__(self, p: dict[str, np.ndarray], classes: Classes, rate: float = 0.01) -> None:
+        self.classes = classes
         self.p = {k: v.copy() for k, v in p.items()}
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}
-        self.s = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}
+        self.m = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "w")}
+        self.s = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "w")}
         self.g = np.full(len(p["e"]), 1e-8, np.float32)
+        self.gw = np.full(len(p["w"]), 1e-8, np.float32)
 
-    def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> None:
+    def step(self, rows: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
         """One batch of windows; the rate falls as 1 / sqrt(1 + step / 200)."""
         e, total, kept = forward(self.p, rows)
-        grads = backward(self.p, e, total, kept, target, valid)
+        dw, more = backward_within(self.p["w"], kept[-1], ids, valid, self.classes)
+        grads = backward(self.p, e, total, kept, self.classes.of[ids], valid, more=more)
         self.t += 1
         rate = self.rate / np.sqrt(1 + self.t / 200)
         for k, m in self.m.items():
@@ -223,23 +280,24 @@ class Trainer:
         sums = np.stack([np.bincount(at, dx[:, j], minlength=len(ids)) for j in range(d)], 1).astype(np.float32)
         self.g[ids] += (sums * sums).mean(1)
         self.p["e"][ids] -= (8 * rate) * sums / np.sqrt(self.g[ids])[:, None]
+        self.gw += (dw * dw).mean(1)
+        self.p["w"] -= rate * dw / np.sqrt(self.gw)[:, None]
 
 
 def train_stream(p: dict[str, np.ndarray], batches, classes: Classes, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:
     """One pass over all targets of (ids, border) batches, in the windows that scoring uses; the new parameters and the targets seen."""
-    own = Trainer(p)
+    own = Trainer(p if "w" in p else p | begin_inside(classes, p["q"].shape[0]), classes)
     seen = 0
     span = np.arange(STRIDE)
     rng = np.random.Generator(np.random.PCG64(5))
     for ids, border in batches:
         at, size, doc = windows(border)
         order = rng.permutation(len(at))
-        cls = classes.of[ids]
         for lo in range(0, len(order), batch):
             w = order[lo : lo + batch]
             rows = inputs_of(ids, at[w], border[doc[w]])
             valid = (span < size[w][:, None]).reshape(-1)
-            target = cls[np.minimum(at[w][:, None] + span, len(ids) - 1)].reshape(-1)
+            target = ids[np.minimum(at[w][:, None] + span, len(ids) - 1)].reshape(-1)
             own.step(rows, target, valid)
         seen += len(ids)
     return own.p, seen
@@ -251,9 +309,11 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, border: np.ndarray, cla
     out, boundary = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
     span = np.arange(STRIDE)
     cls = classes.of[ids]
+    inside = classes.inside[ids]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, len(at), batch):
         a, n = at[lo : lo + batch], size[lo : lo + batch]
-        e, total, _ = forward(p, inputs_of(ids, a, border[doc[lo : lo + batch]]))
+        e, total, kept = forward(p, inputs_of(ids, a, border[doc[lo : lo + batch]]))
         place = (a[:, None] + span).reshape(-1)
         row = np.arange(len(place))
         if (n < STRIDE).any():
@@ -262,5 +322,13 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, border: np.ndarray, cla
             total = total[row]
         out[place] = e[row, cls[place]] / total[:, 0]
         boundary[place] = total[:, 1] / total[:, 0]
+        if "w" in p:
+            held.append((place, kept[-1][row]))
+            if len(held) == 8 or lo + batch >= len(at):  # several batches at once: few rows of a class cost as much as many
+                place, h = (np.concatenate(x) for x in zip(*held))
+                held = []
+                for i, _, _, z, column in within(p["w"], h, ids[place], classes):
+                    own = place[i]
+                    inside[own] = np.log10(np.maximum(z[np.arange(len(z)), column], 1e-30)) + classes.kept[cls[own]]
     floor = np.float32(1e-30)
-    return np.log10(np.maximum(out, floor)) + classes.inside[ids], np.log10(np.maximum(boundary, floor))
+    return np.log10(np.maximum(out, floor)) + inside, np.log10(np.maximum(boundary, floor))

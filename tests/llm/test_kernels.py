@@ -132,3 +132,41 @@ def test_training_sees_the_windows_that_scoring_uses(monkeypatch):
     trained, seen = sorted(seen), seen.clear() or seen
     A.log_probs(A.begin(300), ids, border, classes)
     assert trained == sorted(seen) and len(trained) == 1 + 3 + 4
+
+
+def test_context_tells_ids_of_a_class_apart():
+    rng = np.random.Generator(np.random.PCG64(7))
+    first = rng.integers(0, 2, 4000)
+    ids = np.stack([first, first + 2], 1).reshape(-1)  # 2 follows 0, 3 follows 1; both are of one class, as are 4 and 5, which never stand here
+    border = np.arange(0, 8001, 40)
+    half = np.log10(0.5)
+    inside = np.array([half, half, np.log10(0.4), np.log10(0.4), -1, -1])
+    classes = A.Classes(np.array([0, 0, 64, 64, 64, 64]), inside, np.arange(A.CLASSES) < A.CLASSES // 2, np.arange(6) < 4)
+    p, _ = A.train_stream(A.begin(6), [(ids, border)] * 12, classes)
+    assert A.log_probs(p, ids, border, classes)[0][1::2].mean() > np.log10(0.4) + 0.2
+    # a distribution over all ids after the same inputs
+    total = sum(10.0 ** A.log_probs(p, np.array([0, x]), np.array([0, 2]), classes)[0][1] for x in range(6))
+    h = np.ones((1, A.DIM + 1), np.float32)
+    inner = [z.sum() for *_, z, _ in A.within(p["w"], h, np.array([2]), classes)]
+    assert 0.9 < total <= 1.00001 and inner == pytest.approx([1])
+
+
+def test_gradients_of_the_second_level():
+    rng = np.random.Generator(np.random.PCG64(8))
+    classes = A.Classes(np.array([0, 0, 0, 1, 1, 2]), np.log10([0.2, 0.3, 0.5, 0.6, 0.3, 1.0]), np.array([True, False, False]), np.array([1, 1, 1, 1, 1, 0], bool))
+    w, h = rng.normal(0, 1, (5, 9)), rng.normal(0, 1, (12, 9))
+    h[:, -1] = 1
+    ids, valid = rng.integers(0, 6, 12), rng.random(12) < 0.8
+
+    def loss():
+        return -sum(np.log(z[np.arange(len(z)), c])[valid[rows]].sum() for rows, _, _, z, c in A.within(w, h, ids, classes)) / valid.sum()
+
+    for x, g in zip((w, h[:, :-1]), A.backward_within(w, h, ids, valid, classes)):
+        for at in np.ndindex(*x.shape):
+            old, eps = x[at], 1e-4
+            x[at] = old + eps
+            up = loss()
+            x[at] = old - eps
+            down = loss()
+            x[at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
