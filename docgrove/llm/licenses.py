@@ -3,7 +3,8 @@ r"""License scan by template-markup matching.
 Base phrases are found where their words stand consecutively. Beyond them,
 license templates in SPDX-style markup are compiled to token automata:
 ``<<beginOptional>>...<<endOptional>>`` regions may be left out and
-``<<var;name=...;min=A;max=B>>`` regions match A to B arbitrary words. A text is
+``<<var;name=...;min=A;max=B>>`` regions match A to B arbitrary words, and
+``<<var;name=...;match=a|b>>`` one of these words. A text is
 accepted for a template where, from some word on, all mandatory words stand
 exactly, in order, with nothing between them but what the markup allows. Templates
 of whole licenses run to the end of their disclaimers, so a license that only
@@ -42,7 +43,7 @@ BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apach
 _BSD = (
     "Redistribution and use in source and<<beginOptional>>/or<<endOptional>> binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;name=bullet1;min=0;max=1>> Redistributions of source code must "
     "retain the above copyright notice, this list of conditions and the following disclaimer. <<var;name=bullet2;min=0;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-    "following disclaimer<<beginOptional>>s<<endOptional>> in the documentation and/or other materials provided with the distribution."
+    "following <<var;name=disclaimer;match=disclaimer|disclaimers>> in the documentation and/or other materials provided with the distribution."
 )
 _BSD_DISCLAIMER = (
     "THIS SOFTWARE IS PROVIDED BY <<var;name=holder;min=1;max=20>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
@@ -57,6 +58,11 @@ TEMPLATES = (
     ("gpl-3.0", "<<beginOptional>>This work is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>>.0<<endOptional>>"),
     ("gpl-2.0", "<<beginOptional>>This work is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License, <<beginOptional>>either <<endOptional>>version 2<<beginOptional>>.0<<endOptional>>"),
     ("gpl-3.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("gpl-2.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("lgpl-2.1", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("lgpl-3.0", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("agpl-3.0", "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("mit", "Released under the <<beginOptional>>terms of the <<endOptional>>MIT License"),
     ("mit", "Licensed under the <<beginOptional>>terms of the <<endOptional>>MIT License"),
     ("cc-by-nc-4.0", "Licensed under <<beginOptional>>a <<endOptional>>CC BY-NC 4.0"),
@@ -131,6 +137,12 @@ class Automaton:
                 self.may_end.add(at)
             else:
                 found = dict(x.split("=", 1) for x in part.split(";")[1:])
+                if "match" in found:
+                    nxt = self._state()
+                    for w in found["match"].split("|"):
+                        self.steps[at][ascii_lower(w)] = nxt
+                    at = nxt
+                    continue
                 low, high = int(found.get("min", 0)), int(found.get("max", 10))
                 for k in range(high):
                     nxt = self._state()
@@ -166,7 +178,8 @@ class Automaton:
             elif part == "textMayEnd":
                 continue
             else:
-                lead += int(dict(x.split("=", 1) for x in part.split(";")[1:]).get("max", 10))
+                found = dict(x.split("=", 1) for x in part.split(";")[1:])
+                lead += 1 if "match" in found else int(found.get("max", 10))
         raise ValueError("no mandatory words")
 
     def closure(self, states: set[int]) -> set[int]:

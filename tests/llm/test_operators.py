@@ -420,6 +420,15 @@ def test_whole_licenses_match_to_their_end():
     assert labels_of(BSD + BSD_END.replace("SUCH DAMAGE", "IT")) == labels_of(BSD + BSD_NAME) == ""
 
 
+def test_standard_notices_and_plurals():
+    notice = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for name, version, want in (("General Public License", 2, "gpl,gpl-2.0"), ("General Public License", 3, "gpl,gpl-3.0"), ("Lesser General Public License", 2.1, "lgpl-2.1"), ("Lesser General Public License", 3, "lgpl-3.0"), ("Affero General Public License", 3, "agpl-3.0")):
+        assert labels_of(notice.format(name, version)) == want
+    assert labels_of("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == "mpl-2.0"
+    plural = BSD.replace("disclaimer in the", "disclaimers in the")
+    assert labels_of(plural + BSD_END) == "bsd-2-clause" and labels_of(plural.replace("disclaimers", "notice") + BSD_END) == labels_of(plural.replace("disclaimers", "disclaimer s") + BSD_END) == ""
+
+
 def test_automata():
     a = licenses.Automaton("x", "Copyright <<var;name=who;min=1;max=3>> may use<<beginOptional>> and<<beginOptional>> freely<<endOptional>> copy<<endOptional>> it")
 
