@@ -3,13 +3,14 @@
 Pre-tokens are cut for a whole chunk at once from code point classes (the
 classes are asked of the tokenizer itself, code point by code point, as they
 occur), and their ids come from a table that each Python worker fills as it
-meets new pre-tokens. The ids are those of the public tokenizer on whole texts,
-its special tokens' strings being ordinary text.
+meets new pre-tokens. The ids are those of the public tokenizer on whole texts;
+a special token's string is cut out first and gets that token's id, as there.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         with open(ranks_path or vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.single = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -101,6 +102,22 @@ class Encoder:
         counts = np.diff(np.searchsorted(begin, offsets))
         return begin, np.append(begin[1:], len(data)), counts
 
+    def _apart(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pre-tokens of a chunk that holds special tokens' strings, each of these being one; None if it holds none."""
+        raw = data.tobytes()
+        found = sorted((m.start(), m.end()) for x in self.special if x in raw for m in re.finditer(re.escape(x), raw))
+        doc = np.searchsorted(offsets, [a for a, _ in found], "right")
+        found = [(a, b) for (a, b), d in zip(found, doc.tolist()) if b <= offsets[d]]  # none across documents
+        if not found:
+            return None
+        a, b = np.array(found).T
+        starts, ends, _ = self.pieces(data, np.unique(np.concatenate([offsets, a, b])))
+        of = np.searchsorted(a, starts, "right") - 1
+        outside = (of < 0) | (starts >= b[of])
+        starts, ends = np.concatenate([starts[outside], a]), np.concatenate([ends[outside], b])
+        by = np.argsort(starts)
+        return starts[by], ends[by], np.diff(np.searchsorted(starts[by], offsets))
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         todo = np.arange(len(h))
@@ -116,7 +133,8 @@ class Encoder:
     def _learn(self, h: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
         single = self.single
-        ids = [single(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        pieces = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        ids = [[self.special[x]] if x in self.special else single(x) for x in pieces]
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(count.sum()))
         n, used = self.n + len(ids), self.used + len(flat)
@@ -141,7 +159,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk's documents, each ended by id 0, and the documents' borders among them."""
-        starts, ends, counts = self.pieces(data, offsets)
+        starts, ends, counts = self._apart(data, offsets) or self.pieces(data, offsets)
         h = S.hash_spans(data, starts, ends)
         h |= np.uint64(h.size > 0) * (h == 0)
         found = self._find(h)

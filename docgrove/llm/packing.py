@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
@@ -167,6 +167,29 @@ def _sweep(items: DataFrame, gaps: DataFrame, n_rows: int, rows_per_range: int)
     return pairs, state, matched
 
 
+def exactly(rows: DataFrame, n: int, total: int) -> Column:
+    """A condition that holds for ``n`` of ``total`` rows of distinct ``item``, in the order of a hash and the item.
+
+    The border is narrowed down by histograms of 4096 bins.
+    """
+    if n >= total:
+        return F.lit(True)
+    h = F.pmod(F.xxhash64("item"), F.lit(1 << 48))
+    low = 0  # rows below are chosen, n more are wanted of those from here on
+    for shift in (36, 24, 12, 0):
+        own = rows.where((h >= F.lit(low)) & (h < F.lit(low + (1 << shift + 12))))
+        bins = {r["b"]: r["n"] for r in own.groupBy(F.shiftright(h - F.lit(low), shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for b in sorted(bins):
+            if bins[b] > n:
+                low += b << shift
+                break
+            n -= bins[b]
+            if not n:
+                return h < F.lit(low + (b + 1 << shift))
+    last = [r["item"] for r in rows.where(h == F.lit(low)).orderBy("item").limit(n).collect()]  # rows of one 48-bit hash
+    return (h < F.lit(low)) | ((h == F.lit(low)) & (F.col("item") <= F.lit(last[-1])))
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(item, seq, length) for rows ``item`` (distinct longs), ``length`` (1 to ``capacity``)."""
     big = F.col("length") * 2 > capacity
@@ -181,16 +204,16 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_range: int = R
         usable = gaps.where(F.col("room") >= least).agg(F.coalesce(F.sum("room"), F.lit(0)).alias("room")).first()["room"]
         if total > usable:
             # the largest pieces open what the words left need at least
-            want, floor, part = -(-(total - usable) // capacity), 0, 1.0
+            want, floor = -(-(total - usable) // capacity), 0
             for k in sorted(left, reverse=True):
+                floor = k
                 if left[k] >= want:
-                    floor, part = k, want / left[k]
                     break
                 want -= left[k]
-            share = F.pmod(F.xxhash64("item"), F.lit(1 << 30)) < F.lit(int(np.ceil(part * (1 << 30))))
-            opens = (F.col("length") > floor) | ((F.col("length") == floor) & share)
-            if left.get(floor, 0) <= 64:  # so few that a hash may choose none
-                opens = F.col("length") >= floor
+            opens = F.col("length") > floor
+            if want:
+                own = free.where(F.col("length") == floor)
+                opens = opens | ((F.col("length") == floor) & exactly(own, want, left[floor]))
             opened = save(free.where(opens).select("item", F.col("item").alias("seq"), "length"))
             placed.append(opened)
             gaps2 = save(gaps.where(F.col("room") >= least).union(opened.select("seq", (F.lit(capacity) - F.col("length")).cast("int"))))
