@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def ship(spark: SparkSession) -> None:
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="docgrove-ship-")) / f"{package.name}_src.zip"
         with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(package.rglob("*.py")):
+            for f in sorted(x for x in package.rglob("*") if x.suffix in (".py", ".txt")):
                 z.write(f, f.relative_to(root))
         sc.addPyFile(str(target))
 
@@ -130,52 +131,76 @@ def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
     return same_table(out, t), total
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                break
+            up = higher
+        x, y = up[x], up[y]
+        rest = x != y
+        x, y = x[rest], y[rest]
+    return nodes, nodes[up]
+
+
+FOREST_EDGES = 2_000_000
+
+
 def _local_forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's edges as stars to the smallest node of each local component."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x] = root
-            x = up
-        return root
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nodes = [x for x in parent if find(x) != x]
-        for i in range(0, len(nodes), 100_000):
-            part = nodes[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[x] for x in part], pa.int64())], ["a", "b"])
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        nodes, roots = _roots(a, b)
+        own = nodes != roots
+        return nodes[own], roots[own]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
+
+    held, size = [], 0
     for batch in it:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                lo, hi = (ra, rb) if ra < rb else (rb, ra)
-                parent[hi] = lo
-                parent.setdefault(lo, lo)
-        if len(parent) > 2_000_000:  # bounds a task's memory; the pieces meet again in the rounds below
-            yield from flush()
-            parent.clear()
-    yield from flush()
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= FOREST_EDGES:
+            a, b = (np.concatenate([z, *[h[k] for h in held]]) for k, z in enumerate((a, b)))
+            held, size = [], 0
+            a, b = stars()
+            if len(a) > FOREST_EDGES:  # bounds a task's memory; the pieces meet again in the rounds below
+                yield from out()
+                a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if held:
+        a, b = (np.concatenate([z, *[h[k] for h in held]]) for k, z in enumerate((a, b)))
+        a, b = stars()
+    yield from out()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of the edges ``a``, ``b`` (longs).
 
-    Each task first contracts its edges to a forest; then alternating
-    large-star and small-star rounds, each written to the shared folder,
-    go on until the edges are stars. Nodes in no edge are not listed.
+    Tasks contract their edges to forests, which fewer tasks take up again, as
+    many as ``FOREST_EDGES`` need; one task's forest is the answer. Where that is
+    too much for one, alternating large-star and small-star rounds, each written to
+    the shared folder, go on until the edges are stars. Nodes in no edge are not listed.
     """
     schema = "a long, b long"
     step = save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local_forest, schema))
-    if step.isEmpty():
-        return step.selectExpr("a AS node", "b AS component")
-    forest = save(step.repartition(max(1, min(8, step.rdd.getNumPartitions())), F.col("b")).mapInArrow(_local_forest, schema))
-    discard(step)
-    step = forest
+    n = step.count()
+    tasks = -(-n // FOREST_EDGES)
+    if n:
+        forest = save(step.repartition(tasks, F.col("b")).mapInArrow(_local_forest, schema))
+        discard(step)
+        step = forest
+    if tasks < 2:
+        roots = step.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return same_table(step.selectExpr("a AS node", "b AS component").union(roots), step)
     while True:
         both = step.union(step.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -192,7 +217,20 @@ def components(edges: DataFrame) -> DataFrame:
         step = stars
         if not deep:
             roots = step.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return step.selectExpr("a AS node", "b AS component").union(roots)
+            return same_table(step.selectExpr("a AS node", "b AS component").union(roots), step)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        c = f"_{n}"
+        while c.lower() in taken:
+            c = f"_{c}"
+        taken.add(c.lower())
+        out.append(c)
+    return out
 
 
 def uniform(*columns, seed: int) -> object:
