@@ -17,6 +17,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from docgrove.queries import QUERIES, texts
+    from docgrove.sources.folders import scratch
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +39,16 @@ def main() -> None:
     runs = {name: (lambda q=QUERIES[name]: q(spark, sf_dir).write.format("noop").mode("overwrite").save()) for name in HEADLINE}
     for name, query in (("cached_one_word_top10", "th"), ("cached_two_words_top10", "th er")):
         runs[name] = lambda query=query: cached["text"].contains(query).execute().sort(cached["text"], limit=10).rows.collect()
+    began = time.time()
+    stored = texts(spark, sf_dir)
+    stored["text"].store(f"{scratch(spark)}/text")
+    took["ingest_store_postings"] = round(time.time() - began, 3)
+    for name, query in (("stored_one_word_top10", "th"), ("stored_two_words_top10", "th er"), ("stored_phrase_top10", '"th er"'), ("stored_glob_top10", "tha*")):
+        runs[name] = lambda query=query: stored["text"].contains(query).execute().sort(stored["text"], limit=10).rows.collect()
+    kept = texts(spark, sf_dir)
+    kept["text"].open(stored["text"].kept.folder.path).kept.cache().postings(["th"]).count()
+    for name, query in (("kept_one_word_top10", "th"), ("kept_two_words_top10", "th er")):
+        runs[name] = lambda query=query: kept["text"].contains(query).execute().sort(kept["text"], limit=10).rows.collect()
     for name, run in runs.items():
         run()
         times = []

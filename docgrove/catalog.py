@@ -14,7 +14,7 @@ from .operators.indexes import FieldIndex, Index, KeywordIndex, TextIndex
 from .plans.compiler import Compiler
 from .plans.expressions import parse_query
 from .results import ResultSet
-from .sources.tables import delete_rows, upsert_rows
+from .sources.tables import delete_rows, one_each, upsert_rows
 
 
 class Catalog:
@@ -74,23 +74,32 @@ class Catalog:
 
     # maintenance
 
-    def _replace(self, documents: DataFrame) -> "Catalog":
+    def _replace(self, documents: DataFrame, ids: DataFrame, rows: DataFrame | None = None) -> "Catalog":
         self.documents = documents
         self.refresh()
+        for index in self._indexes.values():
+            index.changed(ids, rows)
         return self
 
-    def index_docs(self, rows: DataFrame) -> "Catalog":
-        """Insert documents; those that are there already are replaced."""
-        return self._replace(upsert_rows(self.documents, rows, self.id))
+    def index_docs(self, rows: DataFrame, order: str | None = None) -> "Catalog":
+        """Insert documents; those that are there already are replaced. Of rows that repeat an id the one greatest by ``order`` counts."""
+        rows = one_each(rows, self.id, order).select(*self.documents.columns)
+        return self._replace(upsert_rows(self.documents, rows, self.id, unique=True), rows, rows)
 
     reindex_docs = index_docs
 
     def unindex_docs(self, ids: DataFrame) -> "Catalog":
         """Delete documents by id; unknown ids are ignored."""
-        return self._replace(delete_rows(self.documents, ids, self.id))
+        return self._replace(delete_rows(self.documents, ids, self.id), ids)
 
     def reset(self) -> "Catalog":
-        return self._replace(self.documents.limit(0))
+        none = self.documents.limit(0)
+        for index in self._indexes.values():
+            if isinstance(index, TextIndex) and index.kept is not None:
+                index.kept.write(index.analysed(none))
+        self.documents = none
+        self.refresh()
+        return self
 
     def _one(self, docid: int, values: dict) -> DataFrame:
         if not isinstance(docid, int) or isinstance(docid, bool):
@@ -98,14 +107,16 @@ class Catalog:
         return self.documents.sparkSession.createDataFrame([{**values, self.id: docid}], self.documents.schema)
 
     def index_doc(self, docid: int, values: dict) -> "Catalog":
-        return self.index_docs(self._one(docid, values))
+        row = self._one(docid, values)
+        return self._replace(upsert_rows(self.documents, row, self.id, unique=True), row, row)
 
     reindex_doc = index_doc
 
     def unindex_doc(self, docid: int) -> "Catalog":
         if not isinstance(docid, int) or isinstance(docid, bool):
             raise ValueError("a docid is an integer")
-        return self._replace(self.documents.where(F.col(self.id) != docid))
+        one = self.documents.sparkSession.createDataFrame([(docid,)], f"{self.id} {self.documents.schema[self.id].dataType.simpleString()}")
+        return self._replace(self.documents.where(F.col(self.id) != docid), one)
 
     # queries
 

@@ -2,11 +2,13 @@
 
 
 class Unsortable(Exception):
-    """Documents without a value in the sort index; ``docids`` lists them."""
+    """Documents without a value in the sort index: ``n`` of them, of which ``docids`` lists the first ``SHOWN``."""
 
-    def __init__(self, docids: list[int]) -> None:
-        super().__init__(f"no sort value for {len(docids)} documents")
-        self.docids = docids
+    SHOWN = 1000
+
+    def __init__(self, docids: list[int], n: int | None = None) -> None:
+        self.docids, self.n = docids, len(docids) if n is None else n
+        super().__init__(f"no sort value for {self.n} documents")
 
 
 class NoResults(Exception):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer
 from ..functions.ranking import Okapi
+from ..sources.postings import PostingStore
 from . import nodes as N
 
 
@@ -58,6 +59,9 @@ class Index:
     def indexed_column(self) -> Column:
         return F.col(self.column).isNotNull()
 
+    def changed(self, ids: DataFrame, rows: DataFrame | None) -> None:
+        """Documents were replaced by rows, or deleted; a derived column follows by itself."""
+
     # statistics and enumeration
 
     def _frame(self) -> DataFrame:
@@ -223,6 +227,37 @@ class TextIndex(Index):
     def __init__(self, discriminator: Any, analyzer: Analyzer | None = None, ranker: Any = None) -> None:
         super().__init__(discriminator)
         self.analyzer, self.ranker = analyzer or Analyzer(), ranker or Okapi()
+        self.kept: PostingStore | None = None
+
+    def store(self, path: str) -> "TextIndex":
+        """Write the index's postings to a folder; from now on queries read them and maintenance keeps them up to date."""
+        self.kept = self._folder(path).write(self.analysed(self.catalog.documents))
+        return self
+
+    def _folder(self, path: str) -> PostingStore:
+        docs = self.catalog.documents
+        return PostingStore(docs.sparkSession, path, self.catalog.id, docs.schema[self.catalog.id].dataType.simpleString())
+
+    def open(self, path: str) -> "TextIndex":
+        """Use postings that were stored before, of the same documents and analyzer."""
+        self.kept = self._folder(path)
+        if not self.kept.state["segments"]:
+            raise ValueError(f"no postings in {path}")
+        return self
+
+    def optimize(self) -> None:
+        """Merge what maintenance added to the stored postings."""
+        if self.kept is not None:
+            self.kept.compact()
+
+    def analysed(self, rows: DataFrame) -> DataFrame:
+        """(id, terms) of documents."""
+        return rows.select(self.catalog.id, self.derived(rows).alias("terms"))
+
+    def changed(self, ids: DataFrame, rows: DataFrame | None) -> None:
+        """Bring stored postings up to date with documents replaced or deleted."""
+        if self.kept is not None:
+            self.kept.update(ids, None if rows is None else self.analysed(rows))
 
     def check_type(self, kind: T.DataType) -> None:
         inner = kind.elementType if isinstance(kind, T.ArrayType) else kind

@@ -5,7 +5,8 @@ and a filter. Text predicates add a score column. Their corpus numbers (document
 total length, documents that hold each query word) come from one aggregate for
 a tree's text index; they are as many as the query has words, so they become literals.
 Globs, whose words are as many as the vocabulary allows, are scored by postings
-and joined by id.
+and joined by id. Where a text index keeps its postings, no text is read: the query's
+words' rows are met by id, alone if the tree is one text query, else joined to the frame.
 """
 
 from __future__ import annotations
@@ -38,6 +39,61 @@ class Leg:
     score: Column | None = None
 
 
+class Derived:
+    """Words of a document as an array, derived from its text."""
+
+    def __init__(self, terms: Column, norm: Column | None) -> None:
+        self.terms, self._norm = terms, norm
+
+    def holds(self, word: str) -> Column:
+        return F.coalesce(F.array_contains(self.terms, F.lit(word)), F.lit(False))
+
+    def times(self, word: str) -> Column:
+        return F.size(F.filter(self.terms, lambda x: x == F.lit(word))).cast("double")
+
+    def length(self) -> Column:
+        return F.size(self.terms)
+
+    def norm(self) -> Column | None:
+        return self._norm
+
+    def in_a_row(self, words: list[str]) -> Column:
+        n = len(words)
+        wanted = F.array(*[F.lit(w) for w in words])
+        has = reduce(and_, [F.array_contains(self.terms, F.lit(w)) for w in dict.fromkeys(words)])
+        row = F.exists(F.sequence(F.lit(1), F.greatest(F.size(self.terms) - (n - 1), F.lit(1))), lambda i: F.slice(self.terms, i, n) == wanted)
+        return F.coalesce(has & row, F.lit(False))
+
+
+class Kept:
+    """Words of a document as columns met from kept postings; NULL where it lacks the word."""
+
+    def __init__(self, name: str, at: dict[str, int]) -> None:
+        self.name, self.at = name, at
+
+    def holds(self, word: str) -> Column:
+        return F.col(f"{self.name}_tf_{self.at[word]}").isNotNull()
+
+    def times(self, word: str) -> Column:
+        return F.coalesce(F.col(f"{self.name}_tf_{self.at[word]}"), F.lit(0)).cast("double")
+
+    def length(self) -> Column:
+        return F.col(f"{self.name}_len")
+
+    def norm(self) -> Column:
+        return F.col(f"{self.name}_norm")
+
+    def in_a_row(self, words: list[str]) -> Column:
+        def begins(i: int) -> Column:
+            return F.transform(F.col(f"{self.name}_at_{self.at[words[i]]}"), lambda p: p - i)
+
+        both = reduce(F.array_intersect, [begins(i) for i in range(len(words))])
+        return F.coalesce(F.size(both) > 0, F.lit(False))
+
+
+Rows = Derived | Kept
+
+
 class Compiler:
     """Compiles a tree over a catalog's frame. ``frame`` may gain joined columns on the way."""
 
@@ -45,10 +101,17 @@ class Compiler:
         self.catalog = catalog
         self.frame: DataFrame = catalog.frame()
         self._joined = 0
+        self._alone = False  # the frame is only what a kept index found
+        self._needed: set[int] = set()  # text queries without which there is no result
 
     def run(self, query: N.Query) -> tuple[DataFrame, bool]:
         """(id and, if scored, score; whether it is scored)."""
+        if isinstance(query, (N.Eq, N.Contains)) and isinstance(query.index, TextIndex) and query.index.kept is not None:
+            self._alone, self.frame = True, None
+        self._needed = {id(q) for q in (query.queries if isinstance(query, N.And) else [query])}
         leg = self.leg(query)
+        if self.frame is None:  # no word of the query is in any document
+            self.frame = self.catalog.frame().limit(0)
         kept = self.frame.where(leg.member)
         if leg.score is None:
             return kept.select(self.catalog.id), False
@@ -76,17 +139,20 @@ class Compiler:
 
     def predicate(self, q: N.Comparator) -> Leg:
         if isinstance(q, (N.NotEq, N.NotAny, N.NotAll, N.NotContains, N.NotInRange)):
-            return Leg(q.index.universe() & ~self.predicate(q.negate()).member)
+            holds = self.predicate(q.negate()).member
+            if isinstance(q.index, TextIndex):
+                return Leg(q.index.universe() & ~holds)
+            return Leg(q.index.universe() & (F.col(q.index.column).isNull() | ~holds))  # a form that reaches the scan
         if isinstance(q.index, TextIndex):
             if not isinstance(q, (N.Eq, N.Contains)):
                 raise TypeError(f"a text index has no {type(q).__name__}")
-            return self.text(q.index, q.value)
+            return self.text(q.index, q.value, id(q) in self._needed)
         if isinstance(q, N.Contains):
             if not isinstance(q.index, KeywordIndex):
                 raise TypeError("only text and keyword indexes have Contains")
             return Leg(self.keyword(N.Eq(q.index, q.value)))
-        holds = self.keyword(q) if isinstance(q.index, KeywordIndex) else self.field(q)
-        return Leg(F.coalesce(holds, F.lit(False)))
+        # NULL where the document has no value, as a filter wants it: bare comparisons are pushed to the scan
+        return Leg(self.keyword(q) if isinstance(q.index, KeywordIndex) else self.field(q))
 
     def field(self, q: N.Comparator) -> Column:
         c, v = F.col(q.index.column), q.value
@@ -99,6 +165,7 @@ class Compiler:
                 parts.append(c < F.lit(high) if q.high_exclusive else c <= F.lit(high))
             return reduce(and_, parts, c.isNotNull())
         if isinstance(q, N.Any_):
+            v = [x for x in v if x is not None]
             return c.isin(*v) if v else F.lit(False)
         if v is None:
             raise ValueError("no document's value equals None")
@@ -118,18 +185,22 @@ class Compiler:
 
     # text
 
-    def text(self, index: TextIndex, query: str) -> Leg:
+    def text(self, index: TextIndex, query: str, needed: bool = False) -> Leg:
         tree = Q.TextParser(index.analyzer).parse(query)
         ranked = [w for t in Q.query_terms(tree) for w in index.analyzer.terms(t)]
-        n_docs, total, holding = self.statistics(index, {*ranked, *self._words(tree, index)})
-        if index.ranker.needs_norm:
-            norm = self._column("norm")
-            self.frame = self.frame.join(index.norms().withColumnRenamed("norm", norm), self.catalog.id, "left")
-            norm_c = F.col(norm)
-        else:
-            norm_c = None
+        words = {*ranked, *self._words(tree, index)}
+        n_docs, total, holding = index.kept.statistics(words) if index.kept is not None else self.statistics(index, words)
         mean = total / n_docs if n_docs else 0.0
-        leg = self._text_leg(tree, index, n_docs, mean, holding, norm_c)
+        norm_c = None
+        if index.kept is not None:
+            rows: Rows = self._kept_rows(index, tree, [w for w in sorted(set(self._words(tree, index))) if holding.get(w)], needed)
+        else:
+            if index.ranker.needs_norm:
+                norm = self._column("norm")
+                self.frame = self.frame.join(index.norms().withColumnRenamed("norm", norm), self.catalog.id, "left")
+                norm_c = F.col(norm)
+            rows = Derived(F.col(index.column), norm_c)
+        leg = self._text_leg(tree, index, n_docs, mean, holding, rows)
         weight = index.ranker.query_weight([idf(n_docs, holding[w]) for w in ranked if holding.get(w)]) or 1.0
         return Leg(leg.member, leg.score / F.lit(float(weight)))
 
@@ -160,28 +231,49 @@ class Compiler:
             return self._words(node.node, index)
         return [w for n in node.nodes for w in self._words(n, index)]
 
-    def _text_leg(self, node: Any, index: TextIndex, n_docs: int, mean: float, holding: dict[str, int], norm: Column | None) -> Leg:
-        terms = F.col(index.column)
-        inner = [index, n_docs, mean, holding, norm]
+    def _kept_rows(self, index: TextIndex, tree: Any, words: list[str], needed: bool) -> "Kept":
+        """Join the kept rows of these words to the frame, a row for each document."""
+        k = self._column("kept")
+        at = {w: i for i, w in enumerate(words)}
+        if words:
+            phrased = {w for n in self._nodes(tree) if isinstance(n, Q.Phrase) for w in index.analyzer.terms(" ".join(n.words))}
+            found = index.kept.postings(words)
+            ident = self.catalog.id
+            if len(words) == 1:
+                found = found.select(ident, F.col("length").alias(f"{k}_len"), F.col("norm").alias(f"{k}_norm"), F.col("tf").alias(f"{k}_tf_0"), *([F.col("places").alias(f"{k}_at_0")] if phrased else []))
+            else:
+                of = [F.max(F.when(F.col("term") == w, F.col("tf"))).alias(f"{k}_tf_{i}") for w, i in at.items()]
+                of += [F.first(F.when(F.col("term") == w, F.col("places")), True).alias(f"{k}_at_{at[w]}") for w in sorted(phrased) if w in at]
+                found = found.groupBy(ident).agg(F.max("length").alias(f"{k}_len"), F.max("norm").alias(f"{k}_norm"), *of)
+            self._attach(found, needed and not any(isinstance(n, Q.Glob) for n in self._nodes(tree)))
+        return Kept(k, at)
+
+    def _attach(self, found: DataFrame, needed: bool = False) -> None:
+        if not self._alone:
+            self.frame = self.frame.join(found, self.catalog.id, "inner" if needed else "left")
+        else:
+            self.frame = found if self.frame is None else self.frame.join(found, self.catalog.id, "outer")
+
+    def _nodes(self, node: Any) -> list[Any]:
+        below = [node.node] if isinstance(node, Q.Without) else getattr(node, "nodes", [])
+        return [node, *[x for n in below for x in self._nodes(n)]]
+
+    def _text_leg(self, node: Any, index: TextIndex, n_docs: int, mean: float, holding: dict[str, int], rows: "Rows") -> Leg:
+        inner = [index, n_docs, mean, holding, rows]
         nothing = Leg(F.lit(False), F.lit(0.0))
 
         def score(word: str) -> Column:
-            tf = F.size(F.filter(terms, lambda x: x == F.lit(word))).cast("double")
-            return index.ranker.term_score(tf, F.size(terms), norm, idf(n_docs, holding[word]), mean)
+            return index.ranker.term_score(rows.times(word), rows.length(), rows.norm(), idf(n_docs, holding[word]), mean)
 
         if isinstance(node, Q.Word):
             if not holding.get(node.word):
                 return nothing
-            return Leg(F.coalesce(F.array_contains(terms, F.lit(node.word)), F.lit(False)), score(node.word))
+            return Leg(rows.holds(node.word), score(node.word))
         if isinstance(node, Q.Phrase):
             words = index.analyzer.terms(" ".join(node.words))
             if not words or not all(holding.get(w) for w in words):
                 return nothing
-            n = len(words)
-            wanted = F.array(*[F.lit(w) for w in words])
-            has = reduce(and_, [F.array_contains(terms, F.lit(w)) for w in dict.fromkeys(words)])
-            row = F.exists(F.sequence(F.lit(1), F.greatest(F.size(terms) - (n - 1), F.lit(1))), lambda i: F.slice(terms, i, n) == wanted)
-            return Leg(F.coalesce(has & row, F.lit(False)), reduce(lambda a, b: a + b, [score(w) for w in words]))
+            return Leg(rows.in_a_row(words), reduce(lambda a, b: a + b, [score(w) for w in words]))
         if isinstance(node, Q.Glob):
             return self._glob_leg(node, index, n_docs, mean)
         if isinstance(node, Q.Without):
@@ -200,15 +292,20 @@ class Compiler:
         if not prefix:
             raise QueryError(f"{node.pattern!r} begins with a wildcard")
         ident, name = self.catalog.id, self._column("glob")
-        found = self.catalog.frame().select(ident, F.size(index.column).alias("_len"), F.explode(index.column).alias("term"))
-        found = found.where(F.col("term").startswith(prefix) & F.col("term").rlike(glob_pattern(node.pattern)))
-        found = found.groupBy(ident, "_len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        found = found.join(df, "term")
-        if index.ranker.needs_norm:
-            found = found.join(index.norms(), ident)
+        if index.kept is not None:
+            if not index.kept.state["segments"]:
+                return Leg(F.lit(False), F.lit(0.0))
+            found = index.kept.matching(prefix, glob_pattern(node.pattern)).withColumnRenamed("length", "_len")
+        else:
+            found = self.catalog.frame().select(ident, F.size(index.column).alias("_len"), F.explode(index.column).alias("term"))
+            found = found.where(F.col("term").startswith(prefix) & F.col("term").rlike(glob_pattern(node.pattern)))
+            found = found.groupBy(ident, "_len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+            df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            found = found.join(df, "term")
+            if index.ranker.needs_norm:
+                found = found.join(index.norms(), ident)
         weight = F.log(1.0 + F.lit(float(n_docs)) / F.col("df"))
         one = index.ranker.term_score(F.col("tf"), F.col("_len"), F.col("norm") if index.ranker.needs_norm else None, weight, mean)
         scores = found.groupBy(ident).agg(F.sum(one).alias(name))
-        self.frame = self.frame.join(scores, ident, "left")
+        self._attach(scores)
         return Leg(F.col(name).isNotNull(), F.coalesce(F.col(name), F.lit(0.0)))

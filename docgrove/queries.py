@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import Catalog, Cosine, FacetIndex, FieldIndex, HTML, KeywordIndex, Name, Not, Or, TextIndex
-from .functions.analysis import STOP_WORDS
+from .catalog import RangeValue
+from .functions.analysis import STOP_WORDS, Analyzer, DropWords, Lower, Split
 from .results import ResultSet
+from .sources.folders import scratch
 from .sources.tables import merge_parts, read
+from .streaming.upserts import DocumentTable
 
 Maker = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Maker] = {}
@@ -303,6 +306,62 @@ def _(spark, sf_dir):
     return Or(c["text"].contains("th"), c["lang"].eq("en")).execute().scores().select("doc_id", F.round("score", 6).alias("score"))
 
 
+# the same answers from kept postings
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> Catalog:
+    c = texts(spark, sf_dir)
+    c["text"].store(f"{scratch(spark)}/text")
+    c["cosine"].kept = c["text"].kept
+    return c
+
+
+def _stored_query(query: str, index: str = "text") -> Maker:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stored_texts(spark, sf_dir)[index].contains(query).execute().scores().select("doc_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name, _query in {**{k: q for k, (q, _) in _TEXT.items()}, "text_phrase": '"th er"'}.items():
+    QUERIES[f"stored_{_name}"] = _stored_query(_query)
+    ORACLES[f"stored_{_name}"] = ORACLES[_name]
+QUERIES["stored_text_cosine"], ORACLES["stored_text_cosine"] = _stored_query("th er", "cosine"), ORACLES["text_cosine"]
+
+
+@_add("stored_text_and_field", ORACLES["text_and_field"])
+def _(spark, sf_dir):
+    return stored_texts(spark, sf_dir).execute("'th' in text and lang == 'en'").scores().select("doc_id", F.round("score", 6).alias("score"))
+
+
+_CHANGED = _PLACES.replace("FROM documents)", "FROM now)").replace("FROM documents d", "FROM now d").replace(
+    "WITH w AS", "WITH now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' th th er' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7), w AS", 1
+)
+
+
+@_add("stored_text_updated", _CHANGED + f"SELECT doc_id, round(sum(s) / {_weight('th', 'er')}, 6) AS score FROM s WHERE term IN ('th', 'er') GROUP BY doc_id HAVING count(*) = 2")
+def _(spark, sf_dir):
+    c = Catalog(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    c["text"] = TextIndex("text")
+    c["text"].store(f"{scratch(spark)}/text")
+    docs = c.documents
+    c.index_docs(docs.where("doc_id % 10 = 3").withColumn("text", F.concat("text", F.lit(" th th er"))))
+    c.unindex_docs(docs.where("doc_id % 10 = 7"))
+    return c["text"].contains("th er").execute().scores().select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_add("text_parentheses", _PLACES + f"SELECT doc_id, round(sum(s) / {_weight('th', 'er', 'und')}, 6) AS score FROM s WHERE term IN ('th', 'er', 'und') GROUP BY doc_id HAVING count_if(term = 'th') = 1 AND count(*) > 1")
+def _(spark, sf_dir):
+    return texts(spark, sf_dir)["text"].contains("th and (er or und)").execute().scores().select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_add("text_single_chars", rf"""SELECT doc_id, array_to_string(list_filter({_ROW}, lambda x: length(x) > 1), ' ') AS words FROM documents""")
+def _(spark, sf_dir):
+    c = Catalog(_table(spark, sf_dir, "documents"), "doc_id")
+    c["text"] = TextIndex("text", Analyzer(Split(), Lower(), DropWords(single=True)))
+    return c.frame().select("doc_id", F.array_join(c["text"].column, " ").alias("words"))
+
+
 @_add("term_frequencies", _PLACES + "SELECT doc_id, term, tf FROM tf")
 def _(spark, sf_dir):
     return texts(spark, sf_dir)["text"].postings()
@@ -405,6 +464,79 @@ def _(spark, sf_dir):
     return ranked(orders(spark, sf_dir).search(sort_index="price", limit=50, index_query_order=["priority", "status"], status="F", priority={"query": ["1-URGENT"], "operator": "and"})[1])
 
 
+_SEARCHES = {
+    "search_scalar": ({"status": "F"}, "o_orderstatus = 'F'"),
+    "search_none": ({"price": None}, "o_totalprice IS NOT NULL"),
+    "search_range_value": ({"cust.key": [RangeValue(10, 30), 70]}, "o_custkey BETWEEN 10 AND 30 OR o_custkey = 70"),
+    "search_operator": ({"cust.key": {"query": [RangeValue(10, 30), RangeValue(20, 40)], "operator": "and"}}, "o_custkey BETWEEN 20 AND 30"),
+}
+
+
+def _search_query(terms: dict) -> Maker:
+    return lambda spark, sf_dir: orders(spark, sf_dir).search(**terms)[1].ids()
+
+
+for _name, (_terms, _where) in _SEARCHES.items():
+    QUERIES[_name], ORACLES[_name] = _search_query(_terms), f"SELECT o_orderkey FROM orders WHERE {_where}"
+
+_WORDS = "(SELECT l_orderkey, list_distinct(list_concat(list(l_returnflag), list(l_linestatus), list(CAST(l_linenumber AS VARCHAR)))) AS words FROM lineitem GROUP BY l_orderkey)"
+
+
+@_add("search_keywords", f"SELECT o_orderkey FROM orders JOIN {_WORDS} ON o_orderkey = l_orderkey WHERE list_contains(words, 'R') AND list_contains(words, '5')")
+def _(spark, sf_dir):
+    return keyworded(spark, sf_dir).search(words=["R", "5"])[1].ids()
+
+
+@_add("search_keywords_or", f"SELECT o_orderkey FROM orders JOIN {_WORDS} ON o_orderkey = l_orderkey WHERE list_contains(words, 'R') OR list_contains(words, '5')")
+def _(spark, sf_dir):
+    return keyworded(spark, sf_dir).search(words={"query": ["R", "5"], "operator": "or"})[1].ids()
+
+
+@_add("search_text", _PLACES + "SELECT doc_id FROM s WHERE term = 'th'")
+def _(spark, sf_dir):
+    return texts(spark, sf_dir).search(text="th")[1].ids()
+
+
+@_add("kw_normalized", f"SELECT o_orderkey FROM orders JOIN {_WORDS} ON o_orderkey = l_orderkey WHERE list_contains(words, 'R') AND list_contains(words, 'F')")
+def _(spark, sf_dir):
+    c = Catalog(keyworded(spark, sf_dir).documents, "o_orderkey")
+    c["words"] = KeywordIndex("words", lambda w: F.lower(w), str.lower)
+    return c["words"].all(["R", "f"]).execute().ids()
+
+
+@_add("catalog_sort", _top("o_totalprice DESC, o_orderkey DESC", 40, "o_orderstatus = 'P'"))
+def _(spark, sf_dir):
+    c = orders(spark, sf_dir)
+    return ranked(c.sort(c.documents.where("o_orderstatus = 'P'"), "price", 40, reverse=True))
+
+
+@_add("rs_one", "SELECT o_orderkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def _(spark, sf_dir):
+    c = orders(spark, sf_dir)
+    c["key"] = FieldIndex("o_orderkey")
+    least = c.documents.agg(F.min("o_orderkey").alias("k")).first()["k"]
+    return spark.createDataFrame([(c["key"].eq(least).execute().one(resolve=False),)], "o_orderkey long")
+
+
+@_add("rs_all", _top("o_totalprice, o_orderkey", 30, "o_orderstatus = 'P'"))
+def _(spark, sf_dir):
+    c = orders(spark, sf_dir)
+    found = c["status"].eq("P").execute().sort(c["price"], limit=30).all(resolve=False)
+    return spark.createDataFrame([(k, n) for n, k in enumerate(found, 1)], "o_orderkey long, rank long")
+
+
+@_add("stream_upserts", "SELECT user_id, max_by(event_type, struct_pack(a := ts, b := event_id)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def _(spark, sf_dir):
+    """The last event of each user, kept by a stream."""
+    at = scratch(spark)
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    rows.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    table = DocumentTable(spark, f"{at}/table", "user_id", 8)
+    table.follow(stream, "at", f"{at}/progress").awaitTermination()
+    return table.current().select("user_id", "event_type")
+
+
 @_add("query_catalog", _top("o_totalprice, o_orderkey", 100, "o_orderstatus = 'F' AND o_custkey > 10"))
 def _(spark, sf_dir):
     c = orders(spark, sf_dir)
@@ -435,7 +567,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(i.indexed_count(), i.not_indexed_count(), i.docids_count())], "indexed long, not_indexed long, docids long")
 
 
-@_add("upsert_docs", "SELECT o_orderkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, 'X' FROM orders WHERE o_custkey < 100")
+@_add("upsert_docs", "SELECT o_orderkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, 'X' FROM orders WHERE o_custkey < 100 AND o_orderkey <> 0")
 def _(spark, sf_dir):
     c = orders(spark, sf_dir)
     some = c.documents.where("o_custkey < 100").withColumn("o_orderstatus", F.lit("X"))

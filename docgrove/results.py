@@ -81,9 +81,10 @@ class ResultSet:
         else:
             order = [F.col(key).asc(), *(self.order if stable else [ident.asc()])]
         if raise_unsortable and not (limit is not None and have.limit(limit).count() == limit):
-            missing = [r[0] for r in full.where(F.col(key).isNull()).select(self.catalog.id).orderBy(self.catalog.id).collect()]
+            none = full.where(F.col(key).isNull()).select(self.catalog.id)
+            missing = [r[0] for r in none.orderBy(self.catalog.id).limit(Unsortable.SHOWN + 1).collect()]
             if missing:
-                raise Unsortable(missing)
+                raise Unsortable(missing[: Unsortable.SHOWN], len(missing) if len(missing) <= Unsortable.SHOWN else none.count())
         out = have.orderBy(*order).limit(limit) if limit is not None else have
         return self._with(out, order, STABLE, self._keys + 1)
 

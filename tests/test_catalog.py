@@ -240,3 +240,73 @@ def test_index_types(spark):
     c["k"] = KeywordIndex("k", F.lower, str.lower)
     assert ids(c["k"].eq("A").execute()) == [1] and c["k"].word_count() == 1
     assert ids(c.execute("k == x", names={"x": "a"})) == [1] and Name("x") == Name("x")
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 5, "a"), (2, None, "b")], "docid long, v int, s string").write.parquet(f"{tmp_path}/d")
+    c = Catalog(spark.read.parquet(f"{tmp_path}/d"))
+    c["v"], c["s"] = FieldIndex("v"), FieldIndex("s")
+    v, s = c["v"], c["s"]
+    queries = [v.eq(5), v.noteq(5), v.gt(1), v.ge(1), v.lt(9), v.le(9), v.any([5, 6]), v.notany([6, None]), v.inrange(1, 9), v.inrange(1, 9, True, True), v.inrange(None, 9), v.inrange(1, None), v.notinrange(7, 9), v.eq(5) & s.eq("a"), v.eq(5) | s.noteq("b"), Not(v.gt(1) & s.eq("b"))]
+    for q in queries:
+        plan = q.execute().rows._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, str(q)
+    assert [ids(q.execute()) for q in queries] == [[1], [2], [1], [1], [1], [1], [1], [1, 2], [1], [1], [1], [1], [1, 2], [1], [1], [1]]
+
+
+def test_a_batch_that_repeats_an_id(spark):
+    c = Catalog(spark.createDataFrame([(1, "a", 0)], "docid long, t string, at int"))
+    c["t"] = FieldIndex("t")
+    c.index_docs(spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", 1), (2, "x", 1), (None, "y", 3)], "docid long, t string, at int"), order="at")
+    assert sorted(map(tuple, c.documents.collect())) == [(1, "new", 2), (2, "x", 1)]
+
+
+def test_unsortable_names_some_of_many(spark):
+    c = Catalog(spark.range(0, 1500).selectExpr("id AS docid", "CAST(NULL AS INT) AS v"))
+    c["v"] = FieldIndex("v")
+    with pytest.raises(Unsortable) as e:
+        c["v"].noteq(1).execute().sort(c["v"])
+    assert e.value.n == 1500 and e.value.docids == list(range(Unsortable.SHOWN))
+
+
+def test_kept_postings(spark, tmp_path):
+    """Kept postings answer as derived words do, before and after changes, in a new catalog too."""
+    rows = [(i, None if i == 3 else " ".join(f"w{(i * k) % 7}" for k in range(i)) + (" fox jumps" if i % 2 else " jumps fox"), i % 3) for i in range(12)]
+    docs = spark.createDataFrame(rows, "docid long, t string, v int")
+
+    def catalog(kept):
+        c = Catalog(docs)
+        c["t"], c["cos"], c["v"] = TextIndex("t"), TextIndex("t", ranker=Cosine()), FieldIndex("v")
+        if kept:
+            c["t"].store(f"file://{tmp_path}/t")
+            c["cos"].store(f"file://{tmp_path}/cos")
+        return c
+
+    queries = ["w1 w2", "none", "fox and not w1", '"jumps fox" or w5', "fo* or w3"]
+
+    def same(a, b):
+        for q in queries:
+            for index in ("t", "cos")[: 2 if q == queries[0] else 1]:
+                for more in ("", " and v == 1", " or v == 1")[: 3 if q == queries[-1] and len(queries) > 1 else 1]:
+                    x, y = (c.execute(f"{q!r} in {index}{more}").scores().collect() for c in (a, b))
+                    assert sorted((r[0], round(r[1], 9)) for r in x) == sorted((r[0], round(r[1], 9)) for r in y), (index, q, more)
+        assert ids(a["t"].notcontains("fox").execute()) == ids(b["t"].notcontains("fox").execute())
+
+    plain, kept = catalog(False), catalog(True)
+    same(plain, kept)
+    queries = ['w1 or "fox jumps"']
+    change = spark.createDataFrame([(1, "w1 w1 new", 1), (2, None, 0), (40, "fox w1", 1)], "docid long, t string, v int")
+    for c in (plain, kept):
+        c.index_docs(change).unindex_doc(5).index_doc(6, {"t": "fox jumps", "v": 1})
+    same(plain, kept)
+    assert len(kept["t"].kept.state["segments"]) == 4
+    kept["t"].optimize()
+    kept["t"].kept.cache()
+    same(plain, kept)
+    assert len(kept["t"].kept.state["segments"]) == 1
+    again = Catalog(plain.documents)
+    again["t"], again["cos"], again["v"] = TextIndex("t"), TextIndex("t", ranker=Cosine()), FieldIndex("v")
+    again["t"].open(f"file://{tmp_path}/t")
+    same(plain, again)
+    kept.reset()
+    assert ids(kept["t"].contains("fox").execute()) == []

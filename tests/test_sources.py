@@ -31,3 +31,18 @@ def test_stream_keeps_the_newest(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         table.follow(spark.readStream.schema(schema).parquet(source), "at", f"{tmp_path}/cp").awaitTermination()
     assert sorted((r["docid"], r["t"]) for r in table.current().collect()) == [(1, "a2"), (2, "b2"), (3, "c")]
+
+
+def test_a_merge_writes_only_touched_buckets(spark, tmp_path):
+    table = DocumentTable(spark, f"file://{tmp_path}/table", "docid", buckets=8)
+    table.merge(spark.range(100).selectExpr("id AS docid", "'a' AS t", "1 AS at"), 1, "at")
+    for version in (2, 3, 4):
+        table.merge(spark.createDataFrame([(5, f"v{version}", version)], "docid long, t string, at int"), version, "at")
+        places = table._manifest()["buckets"]
+        assert sum(p == f"d{version}" for p in places.values()) == 1 and len(places) == 8
+    got = {r["docid"]: r["t"] for r in table.current().collect()}
+    assert len(got) == 100 and got.pop(5) == "v4" and set(got.values()) == {"a"}
+    assert {r["t"] for r in table.current(before=4).where("docid = 5").collect()} == {"v3"}
+    table.merge(spark.createDataFrame([(5, "late", 3), (6, "new", 2)], "docid long, t string, at int"), 5, "at")
+    assert sorted((r["docid"], r["t"]) for r in table.current().where("docid IN (5, 6)").collect()) == [(5, "v4"), (6, "new")]
+    assert not (tmp_path / "table" / "d2").exists()  # no version that is kept needs it
