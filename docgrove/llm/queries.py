@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import save, table
 
 
 def op1_near_dup_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import page_of, read_archives, resolve_revisits, write_archives
 
     folder, manifest = write_archives(table(spark, sf_dir, "pages"))
-    records = resolve_revisits(read_archives(folder, manifest, payloads=False))
+    records = resolve_revisits(save(read_archives(folder, manifest, payloads=False)))  # archives are read once
     return records.select(
         page_of("record_id").alias("page_id"),
         F.coalesce("response_length", F.lit(-1).cast("long")).alias("payload_bytes"),
@@ -39,7 +39,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"), by_size=True)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 

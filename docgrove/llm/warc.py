@@ -82,13 +82,14 @@ def _headers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes, n, refers_to, refers_url) for each distinct page_id and payload.
-
-    ``refers_to`` is null for the response of a group; ``n`` counts repeated rows.
-    """
+def page_heads(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, payload_bytes, n) of each distinct page_id and payload; ``n`` counts repeated rows."""
     heads = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_headers, "page_id long, payload_digest string, payload_bytes long")
-    heads = save(heads.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n")))
+    return save(heads.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n")))
+
+
+def roles(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The heads with ``refers_to``, which is null for the response of a group."""
     chosen = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("group"))
     chosen = chosen.where("group > 1").select(F.col("payload_digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")).hint("merge")
     salted = heads.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
@@ -144,11 +145,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
     folder = folder.replace("file:///", "file:/", 1).replace("file:/", "file:///", 1)
-    role = roles(pages, min_bytes).select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to", "n")
+    heads = page_heads(pages)
+    role = roles(heads, min_bytes).select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to", "n")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.mapInArrow(_with_digest, "page_id long, url string, html string, payload_digest string")
     told = rows.join(role, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d")))
     told = told.select("page_id", "url", "html", "payload_digest", "refers_to", "n")
+    if heads.where("n > 1").limit(1).count():  # rows that repeat: one task for each page_id and payload tells the first from the others
+        told = told.where("n = 1").union(told.where("n > 1").repartition("page_id", "payload_digest"))
     manifest = save(told.mapInArrow(_writer(folder, level, ROLL_BYTES), "path string, records long"))
     return folder, manifest
 
@@ -233,7 +237,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     A revisit whose response is missing or has another digest gets nulls.
     """
     responses = records.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_digest").alias("_d"), F.col("payload_length").alias("_l")).where(f"_id <> '{_URN}null'")
-    wanted = responses.select("_id", "_d", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")).hint("merge")
+    asked = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("_id")).distinct()
+    wanted = responses.join(asked, "_id", "left_semi").select("_id", "_d", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")).hint("merge")
     revisits = records.where("record_type = 'revisit'").withColumn("_salt", F.pmod(F.hash("record_id"), F.lit(SALTS)))
     joined = revisits.join(wanted, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")), "left")
     resolved = joined.select(*records.columns, F.col("_d").alias("response_digest"), F.col("_l").alias("response_length"))
