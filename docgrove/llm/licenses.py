@@ -27,6 +27,7 @@ replaced.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -52,7 +53,7 @@ _BSD_DISCLAIMER = (
     "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
 )
 
-#: (label, template): short notices and whole license texts, in SPDX template markup.
+#: (label, template): short notices and short licenses, in SPDX template markup.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\"); you may not use this file except in compliance with the License<<endOptional>>"),
     ("gpl-3.0", "<<beginOptional>>This work is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License, <<beginOptional>>either <<endOptional>>version 3<<beginOptional>>.0<<endOptional>>"),
@@ -88,6 +89,16 @@ TEMPLATES = (
     ("bsd-2-clause", f"{_BSD} {_BSD_DISCLAIMER}"),
 )
 
+#: Whole licenses, from their first clause to the end of their terms; ``license_texts`` holds them as published.
+WHOLE = ("apache-2.0", "cc0-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0")
+
+
+def whole_license(label: str) -> str:
+    """A whole license as a template: its heading, the first line, may be left out."""
+    heading, _, body = pkgutil.get_data(__package__, f"license_texts/{label}.txt").decode().partition("\n")
+    return f"<<beginOptional>>{heading}<<endOptional>> {body}" if heading.isupper() else f"{heading} {body}"
+
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|textMayEnd|var[^>]*)>>")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -208,7 +219,7 @@ class Automaton:
         return n if states & self.may_end else 0
 
 
-AUTOMATA = tuple(Automaton(label, t) for label, t in TEMPLATES)
+AUTOMATA = tuple(Automaton(label, t) for label, t in (*TEMPLATES, *((x, whole_license(x)) for x in WHOLE)))
 
 
 def _hash_word(word: str) -> np.uint64:
