@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import save, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 SALTS = 16
@@ -89,7 +89,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
     frequent = frequent.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
     salted = held.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     drops = salted.join(frequent, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    drops = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_drops"))
-    both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    of, keys = unused(docs, "doc", "drops")
+    drops = drops.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("key").alias(keys))
+    both = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops[of]), "left").drop(of)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return both.mapInArrow(_rebuild(min_chars, docs.columns.index(text)), schema)

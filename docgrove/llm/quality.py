@@ -131,7 +131,7 @@ def train(ids: np.ndarray, share: np.ndarray, border: np.ndarray, label: np.ndar
     n = len(label)
     ones = int(label.sum())
     if n == 0 or ones in (0, n):
-        return Model(effect, 0.0 if n == 0 else (4.0 if ones else -4.0))
+        return Model(effect, 0.0 if n == 0 else (700.0 if ones else -700.0))
     rng = np.random.Generator(np.random.PCG64(seed))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
