@@ -46,6 +46,16 @@ class Classes:
         self.share = (self.inside[self.order] * np.log(10)).astype(np.float32)
         kept = np.bincount(self.of[self.order], 10.0 ** self.inside[self.order], minlength=k)
         self.kept = np.log10(np.maximum(kept, 1e-30))  # log10 of what the seen ids of a class hold of it
+        # classes of like size: for each class its place in the group or -1, and the places of its ids, filled up to the widest
+        size = np.diff(self.start)
+        self.groups = []
+        for wide in np.unique(1 << np.ceil(np.log2(np.maximum(size[size > 1], 2))).astype(np.int64)).tolist():
+            own = np.flatnonzero((size > max(1, wide // 2)) & (size <= wide))
+            if len(own):
+                mark = np.full(k, -1)
+                mark[own] = np.arange(len(own))
+                span = np.arange(size[own].max())
+                self.groups.append((mark, np.where(span < size[own][:, None], self.start[own][:, None] + span, len(self.order))))
 
 
 def cluster(counts: np.ndarray, starts: np.ndarray, classes: int = CLASSES, rounds: int = 12, seed: int = 2) -> Classes:
@@ -214,9 +224,15 @@ def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: t
     return out
 
 
-def within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
-    """Probabilities among their class's seen ids for hidden rows ``h``, a class at a time: rows, their hidden rows, the class's span of ``w``, probabilities, columns of ``ids``.
+ROWS = 32
+
 
+def _blocks(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
+    """Second-level probabilities in blocks of ``ROWS`` hidden rows of one class, blocks of classes of like size multiplied at once.
+
+    For each such group: rows (-1 where a block isn't full), their hidden rows,
+    places in ``order`` of the blocks' classes (one past the end where a class is
+    smaller), their weights, probabilities unscaled, their sums, columns of ``ids``.
     Left out are ids not seen and those alone in their class.
     """
     place = classes.place[ids]
@@ -224,29 +240,66 @@ def within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
     k[np.diff(classes.start)[k] < 2] = -1
     rows = np.argsort(k, kind="stable")
     rows = rows[np.searchsorted(k, 0, sorter=rows) :]
-    cut = np.searchsorted(k[rows], np.arange(len(classes.start)))
-    flat, column = h[rows], place[rows]
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        i, j, lo, hi = cut[c], cut[c + 1], classes.start[c], classes.start[c + 1]
-        z = flat[i:j] @ w[lo:hi].T
-        z += classes.share[lo:hi]
-        z -= z.max(1, keepdims=True)
+    if not len(rows):
+        return
+    count = np.bincount(k[rows], minlength=len(classes.start) - 1)
+    blocks = -(-count // ROWS)
+    first = np.cumsum(blocks) - blocks
+    upto = np.cumsum(count) - count
+    of = k[rows]
+    at = first[of] * ROWS + np.arange(len(rows)) - upto[of]
+    full = np.full(int(blocks.sum()) * ROWS, -1)
+    full[at] = rows
+    full = full.reshape(-1, ROWS)
+    of = np.repeat(np.arange(len(blocks)), blocks)
+    share = np.append(classes.share, np.float32(-1e9))
+    wide = np.vstack([w, np.zeros((1, w.shape[1]), w.dtype)])
+    for mark, index in classes.groups:
+        own = np.flatnonzero(mark[of] >= 0)
+        if not len(own):
+            continue
+        r = full[own]
+        flat = h[r]
+        where = index[mark[of[own]]]
+        weight = wide[where]
+        z = flat @ weight.transpose(0, 2, 1)
+        z += share[where][:, None]
+        z -= z.max(2, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        yield rows[i:j], flat[i:j], slice(lo, hi), z, column[i:j] - lo
+        column = place[r] - classes.start[of[own]][:, None]
+        yield r, flat, where, weight, z, z.sum(2), column
+
+
+def within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
+    """Probabilities among their class's seen ids for hidden rows ``h``: rows, their hidden rows, the class's places, probabilities, columns of ``ids``."""
+    for r, flat, where, _, z, total, column in _blocks(w, h, ids, classes):
+        real = r >= 0
+        yield r[real], flat[real], np.repeat(where[:, None], r.shape[1], 1)[real], (z / total[..., None])[real], column[real]
+
+
+def chosen(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
+    """Rows and the probability of each one's id within its class."""
+    for r, _, _, _, z, total, column in _blocks(w, h, ids, classes):
+        real = r >= 0
+        p = np.take_along_axis(z, np.where(real, column, 0)[..., None], 2)[..., 0] / total
+        yield r[real], p[real]
 
 
 def backward_within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the second level's mean cross-entropy over valid targets: of ``w`` and of the hidden rows."""
-    dw, dh = np.zeros_like(w), np.zeros((len(h), h.shape[1] - 1), h.dtype)
+    dw, dh = np.zeros((len(w) + 1, w.shape[1]), w.dtype), np.zeros((len(h), h.shape[1] - 1), h.dtype)
     real = np.flatnonzero(valid)
     factor = h.dtype.type(1 / max(len(real), 1))
-    for rows, own, span, z, column in within(w, h[real], ids[real], classes):
-        z[np.arange(len(z)), column] -= 1
-        z *= factor
-        dw[span] = z.T @ own
-        dh[real[rows]] = z @ w[span, :-1]
-    return dw, dh
+    for r, flat, where, weight, z, total, column in _blocks(w, h[real], ids[real], classes):
+        some = r >= 0
+        z *= np.where(some, factor / total, 0)[..., None]
+        b, i = np.nonzero(some)
+        z[b, i, column[b, i]] -= factor
+        d = z.transpose(0, 2, 1) @ flat
+        start = np.flatnonzero(np.concatenate([[True], where[1:, 0] != where[:-1, 0]]))
+        dw[where[start]] = np.add.reduceat(d, start, 0)
+        dh[real[r[b, i]]] = (z @ weight[:, :, :-1])[b, i]
+    return dw[:-1], dh
 
 
 class Trainer:
@@ -327,8 +380,8 @@ def log_probs(p: dict[str, np.ndarray], ids: np.ndarray, border: np.ndarray, cla
             if len(held) == 8 or lo + batch >= len(at):  # several batches at once: few rows of a class cost as much as many
                 place, h = (np.concatenate(x) for x in zip(*held))
                 held = []
-                for i, _, _, z, column in within(p["w"], h, ids[place], classes):
+                for i, own_share in chosen(p["w"], h, ids[place], classes):
                     own = place[i]
-                    inside[own] = np.log10(np.maximum(z[np.arange(len(z)), column], 1e-30)) + classes.kept[cls[own]]
+                    inside[own] = np.log10(np.maximum(own_share, 1e-30)) + classes.kept[cls[own]]
     floor = np.float32(1e-30)
     return np.log10(np.maximum(out, floor)) + inside, np.log10(np.maximum(boundary, floor))

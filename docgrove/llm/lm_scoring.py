@@ -47,8 +47,8 @@ from .ngram_join import squeeze, unsqueeze
 BATCH_BYTES = 4 << 20
 LAMBDA = 0.75
 ROUNDS = 2
-END = 50256
-IDS = 50257
+END = 50257  # beyond the vocabulary
+IDS = 50258
 _END_WORD = np.uint64(0)
 
 
@@ -117,13 +117,24 @@ def _read(parts: int, path: str | None):
                     yield _row(_BASE_TYPES, kind=1, part=r, batch=batch, payload=squeeze((np.diff(u[a:b], prepend=np.uint64(0)), 8), (times[a:b], 5)))
             before = np.concatenate([[0], i[:-1].astype(np.int64) + 1])
             before[np.concatenate([[0], np.cumsum(n)[:-1]])] = A.BEGIN
-            key = (i.astype(np.int64) * A.CONTEXTS + before % A.CONTEXTS)[np.repeat(~held, n)]
-            u, times = np.unique(key, return_counts=True)
+            some, local = _dense(i)
+            pair = np.bincount((local * A.CONTEXTS + before % A.CONTEXTS)[np.repeat(~held, n)], minlength=1)
+            u = np.flatnonzero(pair)
+            times = pair[u]
+            u = some[u // A.CONTEXTS].astype(np.int64) * A.CONTEXTS + u % A.CONTEXTS
             yield _row(_BASE_TYPES, kind=2, part=0, batch=batch, payload=squeeze((u.astype(np.uint64), 3), (times.astype(np.uint64), 5)))
 
     return run
 
 
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and each one's number among them, without a sort."""
+    some = np.flatnonzero(np.bincount(ids, minlength=IDS))
+    number = np.zeros(IDS, np.int64)
+    number[some] = np.arange(len(some))
+    return some, number[ids]
+
+
 def range_of_word(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
@@ -228,8 +239,8 @@ def _starts(path: str | None) -> np.ndarray:
     return starts
 
 
-def score_batch(p: dict, classes: A.Classes, starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, n_words: np.ndarray, total: float, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each document: the words known, base score and score. ``counts``: of each word and end, in order."""
+def score_batch(p: dict, classes: A.Classes, starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, n_words: np.ndarray, total: float, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: the words known, base score, score, and the score by attention alone. ``counts``: of each word and end, in order."""
     border = np.concatenate([[0], np.cumsum(sizes)])
     lp, edge = A.log_probs(p, ids, border, classes)
     first = np.flatnonzero(starts[ids])  # one for each word and each end
@@ -242,10 +253,10 @@ def score_batch(p: dict, classes: A.Classes, starts: np.ndarray, ids: np.ndarray
     mixed = np.log10(lam * 10.0 ** np.maximum(word, -290) + (1 - lam) * uni)
     mixed = np.where((word < -290) & (uni == 0), word + np.log10(lam), mixed)
     at = np.concatenate([[0], np.cumsum(n_words)])[:-1]
-    return np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(np.log10((counts + 1) / total), at), np.add.reduceat(mixed, at)
+    return np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(np.log10((counts + 1) / total), at), np.add.reduceat(mixed, at), np.add.reduceat(word, at)
 
 
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double"
 
 
 def _score(model, tokens: int, kinds: int, path: str | None, lam: float):
@@ -265,11 +276,11 @@ def _score(model, tokens: int, kinds: int, path: str | None, lam: float):
                 table = encoder_bytes(path) if table is None else table
                 h = words_of_ids(table, ids, n)
                 counts = c[np.unique(h, return_inverse=True)[1]]
-                known, base, score = score_batch(p, classes, starts, ids, n, counts, m, float(tokens + kinds + 1), lam)
+                known, base, score, alone = score_batch(p, classes, starts, ids, n, counts, m, float(tokens + kinds + 1), lam)
                 held = np.unpackbits(np.frombuffer(row["held"], np.uint8))[: len(n)].astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_id"], pa.int64()), pa.array(held), pa.array(m), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    [pa.array(row["doc_id"], pa.int64()), pa.array(held), pa.array(m), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score), pa.array(alone)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score"],
                 )
 
     return run
@@ -285,8 +296,7 @@ def encoder_bytes(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         byte_of[chr(256 + k)] = b
     raw = [b""] * IDS
     for token, i in encoder(path).tokenizer.get_vocab().items():
-        if i != END:
-            raw[i] = bytes(byte_of[c] for c in token)
+        raw[i] = bytes(byte_of[c] for c in token)
     length = np.array([len(x) for x in raw])
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length
 
@@ -309,7 +319,7 @@ def words_of_ids(table: tuple, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, lam: float = LAMBDA, text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score (what attention alone gives)."""
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
@@ -319,7 +329,7 @@ def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUN
     totals = counts.where("kind = 2").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     contexts = np.zeros((IDS, A.CONTEXTS), np.int64)
     some = base.where("kind = 2").select("payload")
-    summed = some.repartition(8).mapInArrow(_sum_contexts, "payload binary").coalesce(1).mapInArrow(_sum_contexts, "payload binary")
+    summed = some.repartition(64).mapInArrow(_sum_contexts, "payload binary").repartition(8).mapInArrow(_sum_contexts, "payload binary")
     for r in summed.collect():  # at most ids x contexts numbers
         k, n = unsqueeze(r["payload"], 2)
         contexts.reshape(-1)[k.astype(np.int64)] += n.astype(np.int64)
