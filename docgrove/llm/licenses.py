@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans as S
+from .common import unused
 
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -305,6 +306,6 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """
     own = {f[0] for f in _FIELDS}
     carried = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    rows = docs.select(*carried, F.col(text).cast("string").alias("_scanned"))
+    rows = docs.select(*carried, F.col(text).cast("string").alias(unused(docs, "scanned")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, t) for n, t, _ in _FIELDS]])
     return rows.mapInArrow(_run(len(carried), len(carried)), schema)

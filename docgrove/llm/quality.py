@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans as S
+from .common import unused
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -206,6 +207,6 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
             score = np.concatenate([*parts, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*b.schema.names[:n], "score", "predicted"])
 
-    rows = docs.select(*carried, F.col(text).cast("string").alias("_read"))
+    rows = docs.select(*carried, F.col(text).cast("string").alias(unused(docs, "read")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema)
