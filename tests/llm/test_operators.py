@@ -123,6 +123,23 @@ def test_lm_scores(spark, docs, corpus, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_attention_alone_beats_word_counts_on_held_out_texts(spark):
+    """Where each word is followed by one of three, context tells more than counts; the mix keeps what either knows."""
+    rng = random.Random(17)
+    follow = {w: [rng.randrange(40) for _ in range(3)] for w in range(40)}
+    rows = []
+    for d in range(1200):
+        w, text = rng.randrange(40), []
+        for _ in range(rng.randint(60, 240)):
+            text.append(f"{'abcdefgh'[w % 8]}{w}")
+            w = rng.choice(follow[w])
+        rows.append((d, " ".join(text)))
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").collect()
+    base, alone, mixed = (sum(r[c] for r in got) / sum(r["n_tokens"] for r in got) for c in ("base_score", "attention_score", "score"))
+    assert len(got) > 100 and alone > base + 0.3 and mixed > base + 0.3
+    assert sum(r["attention_score"] > r["base_score"] for r in got) > 0.95 * len(got)
+
+
 # 3
 
 
@@ -474,3 +491,133 @@ def test_quality_scores_are_those_of_averaged_vectors():
     ids, share, border = quality.features(data, offsets)
     want = [1 / (1 + math.exp(-(float((model.effect[ids[a:b]] * share[a:b]).sum()) + 0.3))) for a, b in zip(border, border[1:])]
     assert model.scores(data, offsets) == pytest.approx(want, abs=1e-5)
+
+
+def test_whole_licenses_match_reflowed_and_no_other_word():
+    """A reflowed copy in other text is accepted; with one word changed, left out or added it isn't."""
+    rng = random.Random(12)
+
+    def labels(text):
+        b = np.frombuffer(text.encode(), np.uint8)
+        return set(licenses.scan(b, np.array([0, len(b)]), phrases=())["labels"][0].split(",")) - {""}
+
+    whole = {x: licenses.words_of(re.sub("<<[^>]*>>", " ", licenses.whole_license(x))) for x in licenses.WHOLE}
+    for template, label in ((licenses._BSD + " " + licenses._BSD_DISCLAIMER, "bsd-2-clause"),):
+        whole[label] = licenses.words_of(re.sub("<<var;name=(holder|liable)[^>]*>>", " the authors ", re.sub("<<var;name=disclaimer[^>]*>>", " disclaimer ", re.sub("<<(begin|end)[^>]*>>", " ", template))).replace("<<var;name=bullet1;min=0;max=1>>", "1").replace("<<var;name=bullet2;min=0;max=1>>", "2"))
+    for label, w in whole.items():
+        said = [x.upper() if rng.random() < 0.3 else x for x in w]
+        text = "Some words before. " + "".join(x + rng.choice([" ", "\n", ", ", "\n\n * ", " - "]) for x in said) + " and after"
+        assert label in labels(text), label
+        for _ in range(3):
+            k = rng.randrange(40, len(w) - 1)
+            for part in (["otherwise"], [], [w[k], "otherwise"]):
+                if part or w[k] != w[k + 1]:
+                    assert label not in labels(" ".join([*w[:k], *part, *w[k + 1 :]])), (label, k, part)
+
+
+OWN = ", _id string, _doc string, _k string, _loose string, _rank string, _drops string, _item string, _read string, _scanned string, _size string, _u string, _q string, _copy string, name string, block string, node string"
+
+
+def test_columns_named_like_the_operators_own(spark, corpus):
+    """Operators that carry columns through keep those that are named as theirs are inside."""
+    df = spark.createDataFrame([(*r, *["x"] * 16) for r in corpus[:40]], DOC + OWN).repartition(3)
+    n = df.count()
+    for got in (line_dedup.dedup_lines(df), licenses.scan_licenses(df), quality.classify(df, quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))):
+        assert set(df.columns) <= set(got.columns)
+        rows = got.collect()
+        assert len(rows) == n and all(r[c] == "x" for r in rows for c in OWN.replace(", ", " ").split()[::2])
+    for got in (ngram_join.kept_documents(df), mixing.mixed_documents(df, by_size=True)):
+        assert got.columns == df.columns and all(r["_id"] == "x" for r in got.collect())
+    assert packing.pack(df).select("doc_id").distinct().count() == n
+
+
+def test_near_copies_through_blocks_of_hot_shingles(spark, monkeypatch):
+    """A prefix shingle that many sets hold is cut into blocks of any size, and links stay."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"common{k}" for k in range(rng.randint(6, 9))) + " " + " ".join(f"x{rng.randrange(5)}" for _ in range(4))) for i in range(90)]
+    sets = {i: frozenset(zip(t.split(), t.split()[1:])) for i, t in rows}
+    links = Counter(x for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) for x in (a, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "UNIT_CLASSES", 1 << 18)
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", 64)
+    assert sum(links.values()) > 100
+    assert {r["doc_id"]: r["n_similar"] for r in ngram_join.near_documents(df).collect()} == {i: links[i] for i in sets}
+
+
+def test_bitmaps_never_drop_a_close_pair():
+    rng = np.random.Generator(np.random.PCG64(31))
+    sets = []
+    for n in (1, 2, 5, 40, 41, 300, 700):
+        base = np.unique(rng.integers(0, 2**63, n, np.uint64)) << np.uint64(8)
+        sets += [base, base[: max(1, int(n * 0.6))], base[: max(1, int(n * 0.8))], np.concatenate([base[: max(1, n // 2)], np.unique(rng.integers(0, 2**55, n, np.uint64)) << np.uint64(8)])]
+    sets = [np.unique(x) for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    maps = ngram_join.bitmaps(np.concatenate(sets), sizes)
+    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    ok = ngram_join.close_pairs(i, j, maps, maps, sizes, sizes, 60)
+    linked = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert ok[linked].all() and not ok.all()
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """More edges than one task takes: rounds of stars, with a hub, a chain and many small parts."""
+    from docgrove.llm import common
+
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1100)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)]
+    want = {}
+    nodes, roots = common._roots(*(np.array(x, np.int64) for x in zip(*[e for e in edges if e[0] != e[1]])))
+    want = dict(zip(nodes.tolist(), roots.tolist()))
+    assert want[150] == 0 and want[1100] == 1000
+    monkeypatch.setattr(common, "FOREST_EDGES", 50)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    assert got == want
+
+
+def test_pieces_that_open_sequences_are_as_many_as_needed(spark):
+    """Few equal pieces fill as few sequences as can hold them."""
+    for n, length in ((1, 6), (10, 6), (60, 200), (64, 200), (65, 200), (100, 7)):
+        got = packing.best_fit(spark.createDataFrame([(i, length) for i in range(n)], "item long, length long"), 2048)
+        assert got.select("seq").distinct().count() == -(-n // (2048 // length)), (n, length)
+    rows = spark.range(5000).selectExpr("id AS item")
+    for n in (1, 17, 4999, 5000):
+        assert rows.where(packing.exactly(rows, n, 5000)).count() == n
+
+
+def test_the_tokenizers_special_string(spark):
+    """A special token's string has that token's id, as in the tokenizer's own call."""
+    from tokenizers import Tokenizer
+
+    from docgrove.llm.bpe import vocabulary_path
+
+    e = Tokenizer.from_file(vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>'s", "<|endoftext", "|>", "  <|endoftext|>\n\n a", "it'<|endoftext|>s"]
+    got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), with_ids=True).collect()
+    assert 50256 in e.encode(texts[0], add_special_tokens=False).ids
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*e.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], texts[r["doc_id"]]
+
+
+def test_mixing_by_size_samples_as_often_as_it_says(spark):
+    """Over seeds, documents are taken as often as their inclusion probabilities say, longer ones more often."""
+    rows = [(i, "w " * (5 + 5 * (i % 8)), "s") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    total, runs, taken = sum(5 + 5 * (i % 8) for i in range(160)), 4, Counter()
+    for seed in range(runs):
+        got = mixing.mix_sources(df, share=0.4, seed=seed, by_size=True).collect()
+        assert abs(sum(r["taken"] for r in got) - 0.4 * total) <= 40
+        for r in got:
+            taken[r["size"]] += r["copies"]
+    rate = 0.4 * total / sum((5 + 5 * (i % 8)) ** 2 for i in range(160))
+    for size in range(5, 45, 5):
+        p = rate * size
+        assert taken[size] / (20 * runs) == pytest.approx(p, abs=4 * math.sqrt(p * (1 - p) / (20 * runs)) + 0.02)
+
+
+def test_mixing_takes_part_of_rows_that_are_alike(spark):
+    df = spark.createDataFrame([(None, "w w w w", "s")] * 1000 + [(1, "w", "t")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, share=0.83, limit=2.0).collect()
+    target = {r["source"]: r["target"] for r in got}
+    assert abs(sum(r["taken"] for r in got if r["source"] == "s") - target["s"]) <= 4
+    assert mixing.mixed_documents(df, share=0.83).where("source = 's'").count() * 4 == pytest.approx(target["s"], abs=4)
