@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,10 +24,11 @@ class Catalog:
     when a query runs. ``cache()`` keeps the derived columns for many queries.
     """
 
-    def __init__(self, documents: DataFrame, id_col: str = "docid", resolver: Any = None) -> None:
+    def __init__(self, documents: DataFrame, id_col: str = "docid", resolver: Any = None, results: Callable[..., ResultSet] = ResultSet) -> None:
+        """``results`` makes the result of a query from (catalog, rows, scored, resolver=)."""
         if not isinstance(documents.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             raise ValueError(f"{id_col} isn't an integer column")
-        self.documents, self.id, self.resolver = documents, id_col, resolver
+        self.documents, self.id, self.resolver, self.results = documents, id_col, resolver, results
         self._indexes: dict[str, Index] = {}
         self._frame: DataFrame | None = None
         self._cached = False
@@ -127,7 +128,7 @@ class Catalog:
         if isinstance(query, str):
             query = self.parse(query)
         rows, scored = Compiler(self).run(query.bound(names))
-        return ResultSet(self, rows, scored, resolver=resolver or self.resolver)
+        return self.results(self, rows, scored, resolver=resolver or self.resolver)
 
     def query(self, query: str | N.Query, sort_index: str | None = None, limit: int | None = None, sort_type: str | None = None, reverse: bool = False, names: dict | None = None) -> tuple[int, ResultSet]:
         """The number of documents found, and they. A limit applies only with a sort index."""

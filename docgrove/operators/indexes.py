@@ -297,6 +297,27 @@ class TextIndex(Index):
         """(id, norm): the length of each document's vector of log-scaled frequencies."""
         return self.postings().groupBy(self.catalog.id).agg(F.sqrt(F.sum(F.pow(1.0 + F.log("tf"), 2.0))).alias("norm"))
 
+    def lexicon(self) -> DataFrame:
+        """(wid, word): every word of the vocabulary with an id that stays the word's own, whatever else is indexed."""
+        return self.vocabulary().select(F.xxhash64("term").alias("wid"), F.col("term").alias("word"))
+
+    def get_wid(self, word: str) -> int:
+        """The id of a word, 0 for one that no document holds."""
+        row = self.lexicon().where(F.col("word") == word).first()
+        return 0 if row is None else row["wid"]
+
+    def get_word(self, wid: int) -> str | None:
+        row = self.lexicon().where(F.col("wid") == wid).first()
+        return None if row is None else row["word"]
+
+    def get_words(self, docid: int) -> list[str]:
+        """A document's words in order; none if it isn't indexed."""
+        row = self._frame().where(F.col(self.catalog.id) == docid).select(self.column).first()
+        return list(row[0]) if row is not None and row[0] is not None else []
+
+    def has_doc(self, docid: int) -> bool:
+        return bool(self.indexed().where(F.col(self.catalog.id) == docid).limit(1).count())
+
     def vocabulary(self) -> DataFrame:
         return self._frame().select(F.explode(self.column).alias("term")).distinct()
 

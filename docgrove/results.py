@@ -28,7 +28,7 @@ class ResultSet:
         self.resolver, self.sort_type, self._keys = resolver, sorted_by, keys
 
     def _with(self, rows: DataFrame, order: list[Column], sorted_by: str | None, keys: int) -> "ResultSet":
-        return ResultSet(self.catalog, rows, self.scored, order, self.resolver, sorted_by, keys)
+        return type(self)(self.catalog, rows, self.scored, order, self.resolver, sorted_by, keys)
 
     # as DataFrames
 

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from docgrove import FWSCAN, Catalog, Cosine, FacetIndex, FieldIndex, KeywordIndex, MultipleResults, Name, NoResults, Not, NotAll, Or, RangeValue, TextIndex, Unsortable
+from docgrove import FWSCAN, Catalog, Cosine, FacetIndex, FieldIndex, KeywordIndex, MultipleResults, Name, NoResults, Not, NotAll, Or, RangeValue, ResultSet, TextIndex, Unsortable
 from docgrove.operators import nodes as N
 
 
@@ -310,3 +310,17 @@ def test_kept_postings(spark, tmp_path):
     same(plain, again)
     kept.reset()
     assert ids(kept["t"].contains("fox").execute()) == []
+
+
+def test_lexicon_and_result_factory(spark):
+    class Counted(ResultSet):
+        pass
+
+    c = Catalog(spark.createDataFrame([(1, "quick fox fox"), (2, None)], "docid long, t string"), results=Counted)
+    c["t"] = TextIndex("t")
+    t = c["t"]
+    assert {r["word"] for r in t.lexicon().collect()} == {"quick", "fox"}
+    assert t.get_word(t.get_wid("fox")) == "fox" and t.get_wid("none") == 0 and t.get_word(5) is None
+    assert t.get_words(1) == ["quick", "fox", "fox"] and t.get_words(2) == [] and t.has_doc(1) and not t.has_doc(2)
+    found = t.contains("fox").execute()
+    assert type(found) is Counted and type(found.sort(t)) is Counted
