@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import batches_of, class_links, discard, release_shuffles, salted_join, save, unused
+from .common import batches_of, class_links, discard, lean, release_shuffles, salted_join, save, unused
 
 PERCENT = 60
 SKETCH = 1 << 24
@@ -394,16 +394,20 @@ def _candidates(percent: int):
                 last[1:] = key[:-1] | np.uint64(1 << 40)  # within a run it is the key before; unlike any that a run begins with
                 start = np.cumsum(count) - count
                 last[start] = before
-                held.append([np.repeat(name, count), np.repeat(code, count), key, last, np.repeat(place, count), np.arange(len(key)) - np.repeat(start, count)])
+                # at least the shingles from each posting on, by the place of its run
+                high = np.minimum(size_bounds(code)[1], 1e18)
+                rest = np.repeat(high * (1 - place.astype(np.float64) / 255) + 1 + start, count) - np.arange(len(key))
+                held.append([np.repeat(name, count), np.repeat(code.astype(np.uint16), count), key, last, rest.astype(np.float32) * np.float32(1 + 1e-6)])
         if not held:
             return
-        name, code, key, last, place, after = (np.concatenate([x[i] for x in held]) for i in range(6))
+        name, code, key, last, rest = (np.concatenate([x[i] for x in held]) for i in range(5))
         del held
         order = np.lexsort((name, code, key))  # by size within a key
-        name, code, key, last, place, after = name[order], code[order], key[order], last[order], place[order], after[order]
+        name, code = name[order], code[order]
+        key, last, rest = key[order], last[order], rest[order]
         del order
         low, high = size_bounds(code)
-        rest = high * (1 - place.astype(np.float64) / 255) + 1 - after  # at least the shingles from this one on
+        del code
         step, alive = 1, np.flatnonzero(key[1:] == key[:-1])
         found: list[np.ndarray] = []
         size = 0
@@ -713,8 +717,8 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     fragments = fragments or FRAGMENTS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(_count_postings(ranges), _A).repartitionById(ranges, F.col("part"))
-    counted = save(counted.mapInArrow(_count_range(ranges), _B), "kind")
+    counted = rows.mapInArrow(lean(_count_postings(ranges)), _A).repartitionById(ranges, F.col("part"))
+    counted = save(counted.mapInArrow(lean(_count_range(ranges)), _B), "kind")
     release_shuffles(spark)
     documents = counted.where("kind = 0").select("doc_id", "n", "k1", "k2")
     classes = documents.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
@@ -729,8 +733,8 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     parts = max(RANGES, int(mass[1:].sum() * (100 - percent) / 100 / POSTINGS))
     sample = [r["cells"] for r in counted.where("kind = 1").select("cells").limit(SAMPLE).collect()]
     cuts = even_cuts(Order(cells, mass, ranges, fragments), sample, parts, percent)
-    raw = rows.select("text").mapInArrow(_prefixes(order, cuts, parts, percent, HOT), _D).repartitionById(parts, F.col("part"))
-    raw = save(raw.mapInArrow(_candidates(percent), _C), "kind")
+    raw = rows.select("text").mapInArrow(lean(_prefixes(order, cuts, parts, percent, HOT)), _D).repartitionById(parts, F.col("part"))
+    raw = save(raw.mapInArrow(lean(_candidates(percent)), _C), "kind")
     release_shuffles(spark)
     met = raw.where("kind = 0").select("a", "b")
     maps = raw.where("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("n"), "bits")
@@ -752,7 +756,7 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     need = pairs.selectExpr("p", "q", "0 AS kind", "i", "left AS name").union(pairs.selectExpr("p", "q", "1", "j", "right")).distinct()
     need = need.join(maps, "name").select("p", "q", "kind", "i", F.lit(0).alias("j"), "n", "bits")
     unit = need.union(pairs.select("p", "q", F.lit(2).alias("kind"), "i", "j", F.lit(None).cast("long"), F.lit(None).cast("binary")))
-    tight = unit.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(_filter_units(percent), "p long, q long, pairs binary")
+    tight = unit.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(lean(_filter_units(percent)), "p long, q long, pairs binary")
     tight = save(tight)
     discard(pairs, raw)
     release_shuffles(spark)
@@ -764,8 +768,8 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     use = save(use)
     some = possible_rows(rows, use.select("_rep"))
     held = some.join(use.hint("merge"), some["doc_id"].eqNullSafe(use["_rep"])).select("text", "k1", "k2", "units")
-    parted = held.mapInArrow(_segments(order), _E).union(tight.mapInArrow(_to_fragments(fragments), _E))
-    partial = parted.repartition("p", "q", "part").sortWithinPartitions("p", "q", "part", "kind").mapInArrow(_overlaps, "p long, q long, counts binary, pairs binary")
+    parted = held.mapInArrow(lean(_segments(order)), _E).union(tight.mapInArrow(_to_fragments(fragments), _E))
+    partial = parted.repartition("p", "q", "part").sortWithinPartitions("p", "q", "part", "kind").mapInArrow(lean(_overlaps), "p long, q long, counts binary, pairs binary")
     overlap = partial.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(_sum_overlaps, "p long, i int, q long, j int, overlap long")
     ends = placed.select("block", "at", "node", "n")
     linked = overlap.join(ends.toDF("p", "i", "na", "n_a"), ["p", "i"]).join(ends.toDF("q", "j", "nb", "n_b"), ["q", "j"])
