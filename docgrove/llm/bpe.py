@@ -192,6 +192,11 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Let go of this worker's encoders."""
+    _encoders.clear()
+
+
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str | None = None) -> Iterator[np.ndarray]:
     """Each document's ids, with the end."""
     own = encoder(path)

@@ -88,12 +88,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map that hands freed memory back to the system when it ends: Python workers live on and would hold it."""
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map that hands freed memory back to the system when it ends: Python workers live on and would hold it.
+
+    Unless it ``encodes``, it also drops the tokenizer's tables that the worker holds from another stage.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
 
+        from . import bpe
+
+        if not encodes:
+            bpe.forget()
         try:
             yield from fn(it)
         finally:
@@ -204,11 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder, go on until the edges are stars. Nodes in no edge are not listed.
     """
     schema = "a long, b long"
-    step = save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local_forest, schema))
+    step = save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_local_forest), schema))
     n = step.count()
     tasks = -(-n // FOREST_EDGES)
     if n:
-        forest = save(step.repartition(tasks, F.col("b")).mapInArrow(_local_forest, schema))
+        forest = save(step.repartition(tasks, F.col("b")).mapInArrow(lean(_local_forest), schema))
         discard(step)
         step = forest
     if tasks < 2:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, unused
+from .common import lean, save, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 SALTS = 16
@@ -83,7 +83,7 @@ def _rebuild(min_chars: int, text_at: int):
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: str = "text") -> DataFrame:
     """The documents with their texts rebuilt, ``n_lines`` (before) and ``n_dropped``."""
     docs = docs.drop("n_lines", "n_dropped")
-    held = docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(_keys(min_chars), "doc_id long, key binary")
+    held = docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(lean(_keys(min_chars)), "doc_id long, key binary")
     held = save(held.distinct())
     frequent = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     frequent = frequent.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
@@ -93,4 +93,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
     drops = drops.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("key").alias(keys))
     both = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops[of]), "left").drop(of)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return both.mapInArrow(_rebuild(min_chars, docs.columns.index(text)), schema)
+    return both.mapInArrow(lean(_rebuild(min_chars, docs.columns.index(text))), schema)

@@ -696,8 +696,8 @@ def possible_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
     It only spares the join that follows: rows it lets through by chance find no partner there.
     """
     size = int(min(max(1 << (10 * max(ids.count(), 1)).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1]))
-    own = ids.mapInArrow(_bloom(size), "bits binary")
-    own = own.repartition(16).mapInArrow(_bloom(size), "bits binary").repartition(1).mapInArrow(_bloom(size), "bits binary")
+    own = ids.mapInArrow(lean(_bloom(size)), "bits binary")
+    own = own.repartition(16).mapInArrow(lean(_bloom(size)), "bits binary").repartition(1).mapInArrow(lean(_bloom(size)), "bits binary")
     shared = rows.sparkSession.sparkContext.broadcast(own.first()["bits"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -708,7 +708,7 @@ def possible_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
             hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(0)
             yield b.filter(pa.array(hit | pa.compute.is_null(x).to_numpy(zero_copy_only=False)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | None = None, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -742,7 +742,7 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     # classes of candidates in blocks, each near the least class that it met
     label = met.union(met.select("b", "a")).groupBy(F.col("a").alias("name")).agg(F.least("a", F.min("b")).alias("label"))
     named = save(classes.withColumn("name", F.shiftrightunsigned("k1", 16)).join(label, "name").select("name", "label", "node", "n", "k1", "k2", "least"))
-    placed = named.select("label", "node", "n").orderBy("label", "node").select("node", "n").mapInArrow(_in_blocks(UNIT_SHINGLES, UNIT_CLASSES), "node long, block long, at int")
+    placed = named.select("label", "node", "n").orderBy("label", "node").select("node", "n").mapInArrow(lean(_in_blocks(UNIT_SHINGLES, UNIT_CLASSES)), "node long, block long, at int")
     placed = save(named.join(placed, "node").drop("label"))
     discard(named)
     ends = placed.select("name", "block", "at")
@@ -762,15 +762,15 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, fragments: int | Non
     release_shuffles(spark)
 
     # segments of what is left meet in the fragments of units
-    use = tight.mapInArrow(_needed, "p long, q long, kind int, i int, block long")
+    use = tight.mapInArrow(lean(_needed), "p long, q long, kind int, i int, block long")
     use = use.join(placed.select("block", F.col("at").alias("i"), "node", "k1", "k2", "least"), ["block", "i"])
     use = use.groupBy("node").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("least").alias("_rep"), F.collect_list(F.struct("p", "q", "kind", "i")).alias("units"))
     use = save(use)
     some = possible_rows(rows, use.select("_rep"))
     held = some.join(use.hint("merge"), some["doc_id"].eqNullSafe(use["_rep"])).select("text", "k1", "k2", "units")
-    parted = held.mapInArrow(lean(_segments(order)), _E).union(tight.mapInArrow(_to_fragments(fragments), _E))
+    parted = held.mapInArrow(lean(_segments(order)), _E).union(tight.mapInArrow(lean(_to_fragments(fragments)), _E))
     partial = parted.repartition("p", "q", "part").sortWithinPartitions("p", "q", "part", "kind").mapInArrow(lean(_overlaps), "p long, q long, counts binary, pairs binary")
-    overlap = partial.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(_sum_overlaps, "p long, i int, q long, j int, overlap long")
+    overlap = partial.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(lean(_sum_overlaps), "p long, i int, q long, j int, overlap long")
     ends = placed.select("block", "at", "node", "n")
     linked = overlap.join(ends.toDF("p", "i", "na", "n_a"), ["p", "i"]).join(ends.toDF("q", "j", "nb", "n_b"), ["q", "j"])
     linked = linked.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import discard, save
+from .common import discard, lean, save
 
 CAPACITY = 2048
 ROWS_PER_RANGE = 1_000_000
@@ -79,7 +79,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids (little-endian unsigned 32-bit) of each piece."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
-    out = rows.mapInArrow(_pieces(capacity, path, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = rows.mapInArrow(lean(_pieces(capacity, path, with_ids), encodes=True), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
@@ -150,7 +150,7 @@ def _sweep(items: DataFrame, gaps: DataFrame, n_rows: int, rows_per_range: int)
     ranges = max(1, -(-n_rows // rows_per_range))
     rows = items.select(F.col("length").alias("size"), F.lit(False).alias("gap"), F.col("item").alias("id")).union(gaps.select(F.col("part").alias("size"), F.lit(True), F.col("seq")))
     rows = rows.coalesce(1) if ranges == 1 else rows.repartitionByRange(ranges, "size", "gap", "id")
-    state = save(rows.sortWithinPartitions("size", "gap", "id").mapInArrow(_sweep_range, _STATE))
+    state = save(rows.sortWithinPartitions("size", "gap", "id").mapInArrow(lean(_sweep_range), _STATE))
     seen: dict[int, dict[str, int]] = {}
     for r in state.groupBy("range", "kind").agg(F.count(F.lit(1)).alias("n")).collect():
         seen.setdefault(r["range"], {})[r["kind"]] = r["n"]

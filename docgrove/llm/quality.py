@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans as S
-from .common import unused
+from .common import lean, unused
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     chosen = chosen.orderBy(rank, "_label").limit(max_rows)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.orderBy(rank, F.xxhash64("_text"), "_label").limit(max_rows).select("_text", "_label").coalesce(1)
-    got = rows.mapInArrow(_train_task(epochs, seed), "effect binary, bias double").collect()
+    got = rows.mapInArrow(lean(_train_task(epochs, seed)), "effect binary, bias double").collect()
     if not got:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(got[0]["effect"], np.float32), got[0]["bias"])
@@ -209,4 +209,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
 
     rows = docs.select(*carried, F.col(text).cast("string").alias(unused(docs, "read")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

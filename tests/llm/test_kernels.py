@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from docgrove.llm import attention as A
 from docgrove.llm import bpe
 from docgrove.llm import spans as S
+from docgrove.llm.common import lean
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -50,6 +51,12 @@ def test_ids_equal_the_tokenizers(docs):
     assert got == [e.tokenizer.encode(d or "", add_special_tokens=False).ids + [0] for d in docs]
 
 
+def test_maps_drop_the_tokenizer_that_another_stage_left():
+    bpe.encoder()
+    assert list(lean(lambda it: it, encodes=True)(iter([1, 2]))) == [1, 2] and bpe._encoders
+    assert list(lean(lambda it: it)(iter([1, 2]))) == [1, 2] and not bpe._encoders
+
+
 def test_slices_and_empty_batches():
     a = pa.array(["one", None, "two three", ""]).slice(1, 2)
     data, offsets = S.flat(a)
