@@ -46,16 +46,21 @@ class Classes:
         self.share = (self.inside[self.order] * np.log(10)).astype(np.float32)
         kept = np.bincount(self.of[self.order], 10.0 ** self.inside[self.order], minlength=k)
         self.kept = np.log10(np.maximum(kept, 1e-30))  # log10 of what the seen ids of a class hold of it
-        # classes of like size: for each class its place in the group or -1, and the places of its ids, filled up to the widest
+        # classes of more than one seen id in groups of like size: their ranks, and places of their ids, filled up to the widest
         size = np.diff(self.start)
+        step = np.ceil(np.log2(np.maximum(size, 1)) / 1.5).astype(np.int64)
+        ranked = np.argsort(step, kind="stable")[np.count_nonzero(size < 2) :]
+        rank = np.full(k, -1, np.int16)
+        rank[ranked] = np.arange(len(ranked))
+        self.sizes = size[ranked]
+        self.rank = np.where(self.place >= 0, rank[self.of], np.int16(-1))  # of each id's class; -1 if it is alone there or not seen
+        self.column = np.where(self.place >= 0, self.place - self.start[self.of], 0)
         self.groups = []
-        for wide in np.unique(1 << np.ceil(np.log2(np.maximum(size[size > 1], 2))).astype(np.int64)).tolist():
-            own = np.flatnonzero((size > max(1, wide // 2)) & (size <= wide))
-            if len(own):
-                mark = np.full(k, -1)
-                mark[own] = np.arange(len(own))
-                span = np.arange(size[own].max())
-                self.groups.append((mark, np.where(span < size[own][:, None], self.start[own][:, None] + span, len(self.order))))
+        border = np.flatnonzero(np.diff(step[ranked], prepend=-1, append=-1))
+        for lo, hi in zip(border[:-1].tolist(), border[1:].tolist()):
+            own = ranked[lo:hi]
+            span = np.arange(size[own].max())
+            self.groups.append((lo, hi, np.where(span < size[own][:, None], self.start[own][:, None] + span, len(self.order))))
 
 
 def cluster(counts: np.ndarray, starts: np.ndarray, classes: int = CLASSES, rounds: int = 12, seed: int = 2) -> Classes:
@@ -159,7 +164,7 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, stride: int = STRIDE) ->
     """
     n, t = rows.shape
     d = p["q"].shape[0]
-    x = p["e"][rows]
+    x = p["e"].take(rows, 0)
     x += p["p"]
     tail = x[:, t - stride :].reshape(-1, d)
     flat = x.reshape(-1, d)
@@ -227,78 +232,96 @@ def backward(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, kept: t
 ROWS = 32
 
 
-def _blocks(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
-    """Second-level probabilities in blocks of ``ROWS`` hidden rows of one class, blocks of classes of like size multiplied at once.
+def _layout(ids: np.ndarray, classes: Classes) -> tuple:
+    """Rows in blocks of ``ROWS`` of one class, without ids not seen and those alone in their class.
 
-    For each such group: rows (-1 where a block isn't full), their hidden rows,
-    places in ``order`` of the blocks' classes (one past the end where a class is
-    smaller), their weights, probabilities unscaled, their sums, columns of ``ids``.
-    Left out are ids not seen and those alone in their class.
+    The rows by their class's rank, the place of each in the blocks, each block's
+    rank, and of each rank the first block and the first row.
     """
-    place = classes.place[ids]
-    k = np.where(place >= 0, classes.of[ids], -1)
-    k[np.diff(classes.start)[k] < 2] = -1
-    rows = np.argsort(k, kind="stable")
-    rows = rows[np.searchsorted(k, 0, sorter=rows) :]
+    rank = classes.rank[ids]
+    rows = np.argsort(rank, kind="stable")
+    rows = rows[np.count_nonzero(rank < 0) :]
+    count = np.bincount(rank[rows], minlength=len(classes.sizes))
+    blocks = -(-count // ROWS)
+    first, upto = np.concatenate([[0], np.cumsum(blocks)]), np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(len(rows)) + np.repeat(first[:-1] * ROWS - upto[:-1], count)
+    return rows, at, np.repeat(np.arange(len(blocks)), blocks), first, upto
+
+
+def _blocks(w: np.ndarray, h: np.ndarray, layout: tuple, classes: Classes):
+    """Second-level probabilities of the blocks, those of classes of like size multiplied at once.
+
+    For each such group: its blocks and its rows as slices, the blocks' hidden rows
+    (any, where a block isn't full), places in ``order`` of their classes (one past
+    the end where a class is smaller), their weights, probabilities unscaled, their sums.
+    """
+    rows, at, of, first, upto = layout
     if not len(rows):
         return
-    count = np.bincount(k[rows], minlength=len(classes.start) - 1)
-    blocks = -(-count // ROWS)
-    first = np.cumsum(blocks) - blocks
-    upto = np.cumsum(count) - count
-    of = k[rows]
-    at = first[of] * ROWS + np.arange(len(rows)) - upto[of]
-    full = np.full(int(blocks.sum()) * ROWS, -1)
+    full = np.zeros(len(of) * ROWS, np.int64)
     full[at] = rows
-    full = full.reshape(-1, ROWS)
-    of = np.repeat(np.arange(len(blocks)), blocks)
-    share = np.append(classes.share, np.float32(-1e9))
-    wide = np.vstack([w, np.zeros((1, w.shape[1]), w.dtype)])
-    for mark, index in classes.groups:
-        own = np.flatnonzero(mark[of] >= 0)
-        if not len(own):
+    hidden = h.take(full, 0).reshape(-1, ROWS, h.shape[1])
+    wide = np.vstack([w, np.zeros((1, w.shape[1]), w.dtype)])  # the share joins the bias, as the hidden rows' last column is 1
+    wide[:-1, -1] += classes.share
+    far = _longest(h[:, :-1]) * _longest(wide[:, :-1]) + float(np.abs(wide[:, -1]).max()) > LIMIT
+    wide[-1, -1] = -1e9
+    for lo, hi, index in classes.groups:
+        a, b = int(first[lo]), int(first[hi])
+        if a == b:
             continue
-        r = full[own]
-        flat = h[r]
-        where = index[mark[of[own]]]
-        weight = wide[where]
+        flat = hidden[a:b]
+        where = index[of[a:b] - lo]
+        weight = wide.take(where, 0)
         z = flat @ weight.transpose(0, 2, 1)
-        z += share[where][:, None]
-        z -= z.max(2, keepdims=True)
+        if far:
+            z -= z.max(2, keepdims=True)
         np.exp(z, out=z)
-        column = place[r] - classes.start[of[own]][:, None]
-        yield r, flat, where, weight, z, z.sum(2), column
+        yield slice(a, b), slice(int(upto[lo]), int(upto[hi])), flat, where, weight, z, z @ np.ones(z.shape[2], z.dtype)
 
 
 def within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
     """Probabilities among their class's seen ids for hidden rows ``h``: rows, their hidden rows, the class's places, probabilities, columns of ``ids``."""
-    for r, flat, where, _, z, total, column in _blocks(w, h, ids, classes):
-        real = r >= 0
-        yield r[real], flat[real], np.repeat(where[:, None], r.shape[1], 1)[real], (z / total[..., None])[real], column[real]
+    layout = rows, at, *_ = _layout(ids, classes)
+    for block, own, flat, where, _, z, total in _blocks(w, h, layout, classes):
+        here = at[own] - block.start * ROWS
+        p = (z / total[..., None]).reshape(-1, z.shape[2])
+        yield rows[own], flat.reshape(-1, flat.shape[2])[here], where[here // ROWS], p[here], classes.column[ids[rows[own]]]
 
 
 def chosen(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes):
     """Rows and the probability of each one's id within its class."""
-    for r, _, _, _, z, total, column in _blocks(w, h, ids, classes):
-        real = r >= 0
-        p = np.take_along_axis(z, np.where(real, column, 0)[..., None], 2)[..., 0] / total
-        yield r[real], p[real]
+    layout = rows, at, *_ = _layout(ids, classes)
+    column = classes.column[ids[rows]]
+    for block, own, _, _, _, z, total in _blocks(w, h, layout, classes):
+        here = at[own] - block.start * ROWS
+        yield rows[own], z.reshape(-1)[here * z.shape[2] + column[own]] / total.reshape(-1)[here]
 
 
 def backward_within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the second level's mean cross-entropy over valid targets: of ``w`` and of the hidden rows."""
     dw, dh = np.zeros((len(w) + 1, w.shape[1]), w.dtype), np.zeros((len(h), h.shape[1] - 1), h.dtype)
     real = np.flatnonzero(valid)
+    if len(real) < len(h):
+        h, ids = h[real], ids[real]
+    layout = rows, at, of, first, _ = _layout(ids, classes)
+    column = classes.column[ids[rows]]
     factor = h.dtype.type(1 / max(len(real), 1))
-    for r, flat, where, weight, z, total, column in _blocks(w, h[real], ids[real], classes):
-        some = r >= 0
-        z *= np.where(some, factor / total, 0)[..., None]
-        b, i = np.nonzero(some)
-        z[b, i, column[b, i]] -= factor
+    scale = np.zeros((len(of), ROWS), h.dtype)
+    scale.reshape(-1)[at] = factor
+    begins = np.zeros(len(of), bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    back = np.empty((len(of), ROWS, h.shape[1]), h.dtype)
+    for block, own, flat, where, weight, z, total in _blocks(w, h, layout, classes):
+        z *= (scale[block] / total)[..., None]
+        z.reshape(-1)[(at[own] - block.start * ROWS) * z.shape[2] + column[own]] -= factor
         d = z.transpose(0, 2, 1) @ flat
-        start = np.flatnonzero(np.concatenate([[True], where[1:, 0] != where[:-1, 0]]))
-        dw[where[start]] = np.add.reduceat(d, start, 0)
-        dh[real[r[b, i]]] = (z @ weight[:, :, :-1])[b, i]
+        new = begins[block]
+        dw[where[new]] = d[new]
+        for i in np.flatnonzero(~new).tolist():  # further blocks of a class
+            lo, n = where[i, 0], classes.sizes[of[block.start + i]]
+            dw[lo : lo + n] += d[i, :n]
+        np.matmul(z, weight, out=back[block])
+    dh[real[rows]] = back.reshape(-1, h.shape[1])[at, :-1]
     return dw[:-1], dh
 
 
@@ -309,10 +332,14 @@ class Trainer:
         self.classes = classes
         self.p = {k: v.copy() for k, v in p.items()}
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "w")}
-        self.s = {k: np.zeros_like(v) for k, v in p.items() if k not in ("e", "w")}
+        self.dense = [k for k in p if k not in ("e", "w")]
+        self.flat = np.concatenate([p[k].reshape(-1) for k in self.dense])  # one array, of which the dense parts are views
+        border = np.cumsum([0, *(p[k].size for k in self.dense)]).tolist()
+        self.p |= {k: self.flat[a:b].reshape(p[k].shape) for k, a, b in zip(self.dense, border, border[1:])}
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.g = np.full(len(p["e"]), 1e-8, np.float32)
         self.gw = np.full(len(p["w"]), 1e-8, np.float32)
+        self.number = np.zeros(len(p["e"]), np.int64)
 
     def step(self, rows: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
         """One batch of windows; the rate falls as 1 / sqrt(1 + step / 200)."""
@@ -321,20 +348,22 @@ class Trainer:
         grads = backward(self.p, e, total, kept, self.classes.of[ids], valid, more=more)
         self.t += 1
         rate = self.rate / np.sqrt(1 + self.t / 200)
-        for k, m in self.m.items():
-            g = grads[k]
-            m += 0.1 * (g - m)
-            self.s[k] += 0.02 * (g * g - self.s[k])
-            self.p[k] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.98**self.t)) + 1e-8)
+        g = np.concatenate([grads[k].reshape(-1) for k in self.dense])
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.02 * (g * g - self.s)
+        self.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.98**self.t)) + 1e-8)
         d = self.p["e"].shape[1]
-        ids, at = np.unique(rows, return_inverse=True)
-        dx = grads["e"].reshape(-1, d)
-        at = at.reshape(-1)
-        sums = np.stack([np.bincount(at, dx[:, j], minlength=len(ids)) for j in range(d)], 1).astype(np.float32)
+        some = np.zeros(len(self.number), bool)
+        some[rows] = True
+        ids = np.flatnonzero(some)
+        self.number[ids] = np.arange(len(ids))
+        at = self.number[rows].reshape(-1, 1) * d + np.arange(d)
+        sums = np.bincount(at.reshape(-1), grads["e"].reshape(-1), minlength=len(ids) * d).reshape(-1, d).astype(np.float32)
         self.g[ids] += (sums * sums).mean(1)
         self.p["e"][ids] -= (8 * rate) * sums / np.sqrt(self.g[ids])[:, None]
-        self.gw += (dw * dw).mean(1)
-        self.p["w"] -= rate * dw / np.sqrt(self.gw)[:, None]
+        self.gw += np.einsum("ij,ij->i", dw, dw) / np.float32(dw.shape[1])
+        dw *= (rate / np.sqrt(self.gw))[:, None]
+        self.p["w"] -= dw
 
 
 def train_stream(p: dict[str, np.ndarray], batches, classes: Classes, batch: int = 64) -> tuple[dict[str, np.ndarray], int]:

@@ -177,3 +177,22 @@ def test_gradients_of_the_second_level():
             down = loss()
             x[at] = old
             assert g[at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
+
+
+def test_second_level_multiplies_few_groups_and_agrees_with_single_rows():
+    rng = np.random.Generator(np.random.PCG64(9))
+    of = np.repeat(np.arange(12), [1, 2, 3, 4, 5, 6, 8, 12, 16, 30, 60, 120])
+    inside = np.log10(1 / np.bincount(of)[of])
+    classes = A.Classes(of, inside, np.arange(12) < 6)
+    assert len(classes.groups) <= 5
+    ids = rng.integers(0, len(of), 400)
+    for scale in (0.3, 30.0):  # the second is beyond what may be exponentiated as it is
+        w, h = rng.normal(0, scale, (len(of), 9)), rng.normal(0, 1, (400, 9))
+        h[:, -1] = 1
+        got = {int(r): x for rows, p in A.chosen(w, h, ids, classes) for r, x in zip(rows, p)}
+        assert set(got) == set(np.flatnonzero(of[ids] > 0).tolist())
+        for r, x in got.items():
+            own = np.flatnonzero(of == of[ids[r]])
+            z = w[classes.place[own]] @ h[r] + np.log(10) * inside[own]
+            z = np.exp(z - z.max())
+            assert x == pytest.approx(z[own == ids[r]][0] / z.sum(), rel=1e-5, abs=1e-12)
