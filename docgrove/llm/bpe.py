@@ -10,6 +10,7 @@ a special token's string is cut out first and gets that token's id, as there.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -119,9 +120,12 @@ class Encoder:
         return starts[by], ends[by], np.diff(np.searchsorted(starts[by], offsets))
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
         slot = h & self.mask
+        key = self.keys[slot]
+        hit = key == h
+        out = np.where(hit, self.entry[slot], np.int64(-1))
+        todo = np.flatnonzero(~hit & (key != 0))
+        slot = (slot[todo] + np.uint64(1)) & self.mask
         while len(todo):
             key = self.keys[slot]
             hit = key == h[todo]
@@ -134,9 +138,11 @@ class Encoder:
         raw = data.tobytes()
         single = self.single
         pieces = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        ids = [[self.special[x]] if x in self.special else single(x) for x in pieces]
+        ids = list(map(single, pieces))
+        for k in [k for k, x in enumerate(pieces) if x in self.special]:
+            ids[k] = [self.special[pieces[k]]]
         count = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(count.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count.sum()))
         n, used = self.n + len(ids), self.used + len(flat)
         if n > len(self.count):
             self.count = np.resize(self.count, max(n, 2 * len(self.count)))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from . import spans as S
-from .common import batches_of, release_shuffles, save
+from .common import batches_of, release_shuffles, roomy, save
 from .ngram_join import squeeze, unsqueeze
 
 BATCH_BYTES = 4 << 20
@@ -54,14 +54,20 @@ _END_WORD = np.uint64(0)
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's words, lower-cased, each after one space."""
-    starts, ends, counts = S.words(data, offsets)
-    size = ends - starts + 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(at[-1], 0x20, np.uint8)
-    length = size - 1
-    inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(at[:-1] + 1, length) + inner] = S.lowered(data)[np.repeat(starts, length) + inner]
-    return out, at[np.concatenate([[0], np.cumsum(counts)])]
+    keep = S.word_bytes(data)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    bare = starts[keep[starts]]  # documents that begin with a word, before which a space is put
+    before = keep[1:] & ~keep[:-1]  # the white space right before a word
+    inner = starts[starts > 0] - 1
+    before[inner] = False
+    keep[:-1] |= before
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    out = np.insert(_SPACED[data[keep]], upto[bare], 0x20)
+    return out, upto[offsets] + np.searchsorted(bare, offsets)
+
+
+_SPACED = S.lowered(np.arange(256, dtype=np.uint8))
+_SPACED[0x09:0x0E] = 0x20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +78,42 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.insert(h, np.cumsum(counts), _END_WORD), np.concatenate([[0], np.cumsum(counts + 1)])
 
 
+_over: dict[str | None, tuple[np.ndarray, dict[int, list[int]]]] = {}
+
+
+def word_ids(path: str | None, ids: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and borders of normalised documents, with ids that reach over words, as two no-break spaces do, cut where words begin."""
+    from .bpe import encoder
+
+    if path not in _over:
+        own = encoder(path)
+        cut = {i: token.split("Ġ") for token, i in own.tokenizer.get_vocab().items() if "Ġ" in token[1:]}
+        over = np.zeros(IDS, bool)
+        over[list(cut)] = True
+        raw = _bytes_of()
+        _over[path] = over, {i: [k for j, x in enumerate(parts) if j or x for k in own.single(b" " * (j > 0) + bytes(raw[c] for c in x))] for i, parts in cut.items()}
+    over, parts = _over[path]
+    hit = np.flatnonzero(over[ids])
+    if not len(hit):
+        return ids, border
+    count = np.ones(len(ids), np.int64)
+    count[hit] = [len(parts[i]) for i in ids[hit].tolist()]
+    upto = np.concatenate([[0], np.cumsum(count)])
+    out = np.repeat(ids, count)
+    for i, at in zip(ids[hit].tolist(), upto[hit].tolist()):
+        out[at : at + len(parts[i])] = parts[i]
+    return out, upto[border]
+
+
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level token stands for."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in visible}
+    for k, b in enumerate(x for x in range(256) if x not in set(visible)):
+        byte_of[chr(256 + k)] = b
+    return byte_of
+
+
 def held_out(doc_id: int | None, folds: int = 7, held: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == held
 
@@ -89,6 +131,8 @@ def _read(parts: int, path: str | None):
         from .bpe import encoder
 
         own, me = encoder(path), TaskContext.get().partitionId()
+        starts = _starts(path)
+        table = id_values(path, starts)
         for k, t in enumerate(batches_of(it, BATCH_BYTES)):
             docs = t.column(0).to_pylist()
             held = np.array([held_out(d) for d in docs])
@@ -96,19 +140,17 @@ def _read(parts: int, path: str | None):
             ids, sizes, words, n_words = [], [], [], []
             for lo, hi in S.chunks(offsets):
                 d, o = normalised(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                i, b = own.encode(d, o)
-                i = i.copy()
+                i, b = word_ids(path, *own.encode(d, o))
                 i[b[1:] - 1] = END
-                h, hb = word_hashes(d, o)
                 ids.append(i)
                 sizes.append(np.diff(b))
-                words.append(h)
-                n_words.append(np.diff(hb))
+                words.append(words_of_ids(table, starts, i, sizes[-1]))
+                n_words.append(np.add.reduceat(starts[i], b[:-1], dtype=np.int64))
             i, n, h, m = (np.concatenate(x) for x in (ids, sizes, words, n_words))
             batch = (me << 32) + k
             yield _row(_BASE_TYPES, kind=0, part=0, batch=batch, doc_id=docs, payload=squeeze((i.astype(np.uint64), 2)), sizes=squeeze((n.astype(np.uint64), 5)), words=squeeze((m.astype(np.uint64), 5)), held=np.packbits(held).tobytes())
             # distinct words, and how often training documents hold them
-            u, inverse = np.unique(h, return_inverse=True)
+            u, inverse = distinct(h)
             times = np.bincount(inverse[np.repeat(~held, m)], minlength=len(u)).astype(np.uint64)
             cut = np.searchsorted(range_of_word(u, parts), np.arange(parts + 1))
             for r in range(parts):
@@ -118,7 +160,7 @@ def _read(parts: int, path: str | None):
             before = np.concatenate([[0], i[:-1].astype(np.int64) + 1])
             before[np.concatenate([[0], np.cumsum(n)[:-1]])] = A.BEGIN
             some, local = _dense(i)
-            pair = np.bincount((local * A.CONTEXTS + before % A.CONTEXTS)[np.repeat(~held, n)], minlength=1)
+            pair = np.bincount((local * A.CONTEXTS + (before & (A.CONTEXTS - 1)))[np.repeat(~held, n)], minlength=1)
             u = np.flatnonzero(pair)
             times = pair[u]
             u = some[u // A.CONTEXTS].astype(np.int64) * A.CONTEXTS + u % A.CONTEXTS
@@ -135,6 +177,16 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some, number[ids]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique`` with the inverse, but sorting only what is distinct."""
+    coded = pa.array(h).dictionary_encode()
+    u = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(u)
+    number = np.empty(len(u), np.int64)
+    number[order] = np.arange(len(u))
+    return u[order], number[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def range_of_word(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
@@ -273,9 +325,9 @@ def _score(model, tokens: int, kinds: int, path: str | None, lam: float):
                 n, m = unsqueeze(row["sizes"], 1)[0].astype(np.int64), unsqueeze(row["words"], 1)[0].astype(np.int64)
                 got = answers.pop(row["batch"])
                 c = np.concatenate([unsqueeze(got[r], 1)[0] for r in sorted(got)]).astype(np.int64)
-                table = encoder_bytes(path) if table is None else table
-                h = words_of_ids(table, ids, n)
-                counts = c[np.unique(h, return_inverse=True)[1]]
+                table = id_values(path, starts) if table is None else table
+                h = words_of_ids(table, starts, ids, n)
+                counts = c[distinct(h)[1]]
                 known, base, score, alone = score_batch(p, classes, starts, ids, n, counts, m, float(tokens + kinds + 1), lam)
                 held = np.unpackbits(np.frombuffer(row["held"], np.uint8))[: len(n)].astype(bool)
                 yield pa.RecordBatch.from_arrays(
@@ -290,10 +342,7 @@ def encoder_bytes(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """All tokens' bytes, and each id's place and length there; the end has none."""
     from .bpe import encoder
 
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in visible}
-    for k, b in enumerate(x for x in range(256) if x not in set(visible)):
-        byte_of[chr(256 + k)] = b
+    byte_of = _bytes_of()
     raw = [b""] * IDS
     for token, i in encoder(path).tokenizer.get_vocab().items():
         raw[i] = bytes(byte_of[c] for c in token)
@@ -301,19 +350,27 @@ def encoder_bytes(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length
 
 
-def words_of_ids(table: tuple, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def id_values(path: str | None, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id: its bytes' share of a word's hash and their number, without the space that begins a word."""
+    flat, place, length = encoder_bytes(path)
+    skip = (starts & (length > 0)).astype(np.int64)
+    return S.values(flat, place + skip, length - skip), length - skip
+
+
+def words_of_ids(table: tuple, starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The word hashes (ends too) of documents given as ids."""
-    flat, place, length = table
+    value, length = table
     border = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     lo = 0
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(border, border[lo] + (S.CHUNK_BYTES >> 2), "right")) - 1)
         part = ids[border[lo] : border[hi]]
-        n = length[part]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(place[part], n)
-        ends = np.concatenate([[0], np.cumsum(n)])[border[lo : hi + 1] - border[lo]]
-        out.append(word_hashes(flat[at], ends)[0])
+        first = np.flatnonzero(starts[part])
+        h = S.hash_joined(value[part], length[part], first)
+        h |= h == 0
+        h[part[first] == END] = _END_WORD
+        out.append(h)
         lo = hi
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -323,7 +380,7 @@ def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUN
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
-    base = save(rows.mapInArrow(_read(parts, path), _BASE), "kind")
+    base = save(rows.mapInArrow(roomy(_read(parts, path)), _BASE), "kind")
     asked = base.where("kind = 1").select("part", "batch", "payload").repartitionById(parts, F.col("part"))
     counts = save(asked.mapInArrow(_count_words, _COUNTS), "kind")
     totals = counts.where("kind = 2").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
@@ -344,11 +401,11 @@ def score_documents(docs: DataFrame, path: str | None = None, rounds: int = ROUN
         steps = [(batches.where(F.col("batch") == first), 0, 1), *[(batches, r, rounds) for r in range(rounds)]]
         for part, turn, of in steps:
             model = spark.sparkContext.broadcast((p, classes))
-            trained = part.mapInArrow(_train(model, turn, of), _PARAMS).repartition(8, "name", "block").mapInArrow(_average, _PARAMS)
+            trained = part.mapInArrow(roomy(_train(model, turn, of)), _PARAMS).repartition(8, "name", "block").mapInArrow(_average, _PARAMS)
             p = _collect_params(trained, p)
             model.unpersist()
     model = spark.sparkContext.broadcast((p, classes, starts))
     answers = counts.where("kind = 1").select("kind", "part", "batch", F.lit(None).cast("array<long>").alias("doc_id"), "payload", *[F.lit(None).cast("binary").alias(c) for c in ("sizes", "words", "held")])
     full = base.where("kind = 0").select("kind", "part", "batch", "doc_id", "payload", "sizes", "words", "held")
     both = full.union(answers).repartition(2 * parts, "batch").sortWithinPartitions("batch", F.col("kind").desc())
-    return both.mapInArrow(_score(model, totals["n"], totals["v"], path, lam), _OUT)
+    return both.mapInArrow(roomy(_score(model, totals["n"], totals["v"], path, lam)), _OUT)

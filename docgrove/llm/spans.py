@@ -112,6 +112,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(data, offsets, ~_SPACE)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of words."""
+    return ~_SPACE[data]
+
+
 def alnum_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r"""Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``."""
     return spans(data, offsets, _ALNUM)
@@ -127,6 +132,22 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((acc[ends] - acc[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def values(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What each span adds to the hash of a longer one that begins with it."""
+    power, inverse = _power_tables(len(data) + 1)
+    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * power[: len(data)])])
+    return (acc[starts + lengths] - acc[starts]) * inverse[starts]
+
+
+def hash_joined(value: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``hash_spans`` of spans given in pieces, by the pieces' ``values`` and lengths; ``first``: where spans' first pieces are."""
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    power, inverse = _power_tables(int(upto[-1]) + 1)
+    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[upto[:-1]])])
+    end = np.append(first[1:], len(value))
+    return mix((acc[end] - acc[first]) * inverse[upto[first]] + (upto[end] - upto[first]).astype(np.uint64))
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, all else as it is."""
     return _LOWER[data]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docgrove.llm import attention as A
-from docgrove.llm import bpe
+from docgrove.llm import bpe, lm_scoring
 from docgrove.llm import spans as S
 from docgrove.llm.common import lean
 
@@ -196,3 +196,68 @@ def test_second_level_multiplies_few_groups_and_agrees_with_single_rows():
             z = w[classes.place[own]] @ h[r] + np.log(10) * inside[own]
             z = np.exp(z - z.max())
             assert x == pytest.approx(z[own == ids[r]][0] / z.sum(), rel=1e-5, abs=1e-12)
+
+
+def test_steps_grow_and_take_every_window_once(monkeypatch):
+    ids = np.random.Generator(np.random.PCG64(10)).integers(0, 40, A.STRIDE * 6000)
+    border = np.arange(0, len(ids) + 1, A.STRIDE * 10)
+    classes = A.Classes(np.arange(40) % A.CLASSES, np.zeros(40), np.arange(A.CLASSES) < A.CLASSES // 2)
+    taken = []
+    monkeypatch.setattr(A.Trainer, "step", lambda self, rows, target, valid: taken.append(valid.sum() // A.STRIDE))
+    _, seen = A.train_stream(A.begin(40), [(ids, border), (ids, border)], classes)
+    assert seen == 2 * len(ids) and sum(taken) == 12000
+    assert taken[0] == 64 and max(taken) == 480 and len(taken) < 12000 / 64 / 2
+
+
+def test_a_step_in_chunks_is_one_step(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(11))
+    n, ids = A.CHUNK * 2 + 5, 300
+    rows, target = rng.integers(0, ids + 1, (n, A.WINDOW)), rng.integers(0, ids, n * A.STRIDE)
+    valid = rng.random(len(target)) < 0.9
+    classes = A.Classes(np.arange(ids) % A.CLASSES, np.full(ids, np.log10(1 / 3)), np.arange(A.CLASSES) < A.CLASSES // 2)
+    p = A.begin(ids) | A.begin_inside(classes)
+    got = []
+    for chunk in (A.CHUNK, n):
+        monkeypatch.setattr(A, "CHUNK", chunk)
+        own = A.Trainer(p, classes, rate=0.01)
+        sums = []
+        monkeypatch.setattr(A, "backward_attention", lambda *a, f=A.backward_attention, s=sums: s.append(f(*a)) or dict(s[-1]))
+        own.step(rows, target, valid)
+        monkeypatch.undo()
+        got.append({k: np.concatenate([x[k] for x in sums]) if k == "e" else sum(x[k] for x in sums) for k in sums[0]} | {"w": own.p["w"]})
+    for k in got[0]:
+        assert np.allclose(got[0][k], got[1][k], atol=1e-3 * np.abs(got[1][k]).max()), k
+
+
+def test_scores_beyond_float32_stay_finite():
+    ids = np.arange(1, 200, dtype=np.int64)
+    classes = A.Classes(np.arange(300) % A.CLASSES, np.full(300, np.log10(1 / 3)), np.arange(A.CLASSES) < A.CLASSES // 2)
+    p = {k: v * 300 for k, v in (A.begin(300) | {"w": A.begin_inside(classes)["w"] + 1}).items()}
+    lp, edge = A.log_probs(p, ids, np.array([0, 90, 199]), classes)
+    assert np.isfinite(lp).all() and np.isfinite(edge).all()
+    trained, _ = A.train_stream(p, [(ids, np.array([0, 90, 199]))], classes)
+    assert all(np.isfinite(x).all() for x in trained.values())
+
+
+def test_frequent_ids_stand_alone_and_rare_ones_by_frequency():
+    n = np.array([10000] * 8 + [3000] * 40 + [1] * 400 + [0] * 52)
+    counts = np.zeros((500, A.CONTEXTS), np.int64)
+    counts[np.arange(500), np.arange(500) % A.CONTEXTS] = n
+    c = A.cluster(counts, np.ones(500, bool), 32)  # 16 classes that start words: 8 alone, 7 of like contexts, 1 of rare ids
+    alone = [int((c.of[:448] == c.of[i]).sum()) for i in range(8)]
+    assert alone == [1] * 8 and len(set(c.of[48:448])) == 1 and not set(c.of[48:448]) & set(c.of[:48])
+    assert (c.rank[:8] == -1).all() and np.allclose([10.0 ** c.inside[c.of == k] @ np.ones((c.of == k).sum()) for k in set(c.of)], 1)
+
+
+def test_words_from_ids_are_those_of_the_text():
+    """Also where an id reaches over words, as that of two no-break spaces apart does."""
+    texts = ["", " ", "A", "a  B\t\nc ", "\xa0 \xa0", "x\xa0 \xa0 \xa0 \xa0y", "　 \xa0\n\xa0", "<|endoftext|> a<|endoftext|>b", "it's 12 THE"]
+    data, offsets = lm_scoring.normalised(*S.flat(pa.array(texts, pa.string())))
+    assert [bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:])] == ["".join(" " + w for w in re.findall(r"[^ \t-\r]+", t.lower())) for t in texts]
+    ids, border = lm_scoring.word_ids(None, *bpe.encoder().encode(data, offsets))
+    ids[border[1:] - 1] = lm_scoring.END
+    starts = lm_scoring._starts(None)
+    h, own = lm_scoring.word_hashes(data, offsets)
+    assert np.array_equal(lm_scoring.words_of_ids(lm_scoring.id_values(None, starts), starts, ids, np.diff(border)), h)
+    assert np.add.reduceat(starts[ids], border[:-1], dtype=np.int64).tolist() == np.diff(own).tolist()
+    assert all(np.array_equal(x, y) for x, y in zip(lm_scoring.distinct(h), np.unique(h, return_inverse=True)))
