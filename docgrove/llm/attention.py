@@ -399,7 +399,8 @@ class Trainer:
         ids = np.flatnonzero(some)
         self.number[ids] = np.arange(0, len(ids) * d, d)
         at = self.number[rows].reshape(-1, 1) + np.arange(d)
-        sums = np.bincount(at.reshape(-1), grads["e"].reshape(-1), minlength=len(ids) * d).reshape(-1, d).astype(np.float32)
+        sums = np.zeros((len(ids), d), np.float32)
+        np.add.at(sums.reshape(-1), at.reshape(-1), grads["e"].reshape(-1))
         self.g[ids] += (sums * sums).mean(1)
         self.p["e"][ids] -= (8 * rate) * sums / np.sqrt(self.g[ids])[:, None]
         self.gw += np.einsum("ij,ij->i", dw, dw) / np.float32(dw.shape[1])

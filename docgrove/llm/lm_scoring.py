@@ -131,8 +131,7 @@ def _read(parts: int, path: str | None):
         from .bpe import encoder
 
         own, me = encoder(path), TaskContext.get().partitionId()
-        starts = _starts(path)
-        table = id_values(path, starts)
+        table = id_values(path)
         for k, t in enumerate(batches_of(it, BATCH_BYTES)):
             docs = t.column(0).to_pylist()
             held = np.array([held_out(d) for d in docs])
@@ -144,8 +143,8 @@ def _read(parts: int, path: str | None):
                 i[b[1:] - 1] = END
                 ids.append(i)
                 sizes.append(np.diff(b))
-                words.append(words_of_ids(table, starts, i, sizes[-1]))
-                n_words.append(np.add.reduceat(starts[i], b[:-1], dtype=np.int64))
+                words.append(words_of_ids(table, i, sizes[-1]))
+                n_words.append(np.add.reduceat(table[0][i], b[:-1], dtype=np.int64))
             i, n, h, m = (np.concatenate(x) for x in (ids, sizes, words, n_words))
             batch = (me << 32) + k
             yield _row(_BASE_TYPES, kind=0, part=0, batch=batch, doc_id=docs, payload=squeeze((i.astype(np.uint64), 2)), sizes=squeeze((n.astype(np.uint64), 5)), words=squeeze((m.astype(np.uint64), 5)), held=np.packbits(held).tobytes())
@@ -315,7 +314,6 @@ def _score(model, tokens: int, kinds: int, path: str | None, lam: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, classes, starts = model.value
         answers: dict[int, dict[int, bytes]] = {}
-        table = None
         for b in it:
             for row in b.to_pylist():
                 if row["kind"] == 1:
@@ -325,8 +323,7 @@ def _score(model, tokens: int, kinds: int, path: str | None, lam: float):
                 n, m = unsqueeze(row["sizes"], 1)[0].astype(np.int64), unsqueeze(row["words"], 1)[0].astype(np.int64)
                 got = answers.pop(row["batch"])
                 c = np.concatenate([unsqueeze(got[r], 1)[0] for r in sorted(got)]).astype(np.int64)
-                table = id_values(path, starts) if table is None else table
-                h = words_of_ids(table, starts, ids, n)
+                h = words_of_ids(id_values(path), ids, n)
                 counts = c[distinct(h)[1]]
                 known, base, score, alone = score_batch(p, classes, starts, ids, n, counts, m, float(tokens + kinds + 1), lam)
                 held = np.unpackbits(np.frombuffer(row["held"], np.uint8))[: len(n)].astype(bool)
@@ -350,16 +347,22 @@ def encoder_bytes(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length
 
 
-def id_values(path: str | None, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each id: its bytes' share of a word's hash and their number, without the space that begins a word."""
-    flat, place, length = encoder_bytes(path)
-    skip = (starts & (length > 0)).astype(np.int64)
-    return S.values(flat, place + skip, length - skip), length - skip
+_values: dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def id_values(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id: whether it begins a word, its bytes' share of a word's hash and their number, without a word's space; kept by a worker."""
+    if path not in _values:
+        starts = _starts(path)
+        flat, place, length = encoder_bytes(path)
+        skip = (starts & (length > 0)).astype(np.int64)
+        _values[path] = starts, S.values(flat, place + skip, length - skip), length - skip
+    return _values[path]
 
 
-def words_of_ids(table: tuple, starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def words_of_ids(table: tuple, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The word hashes (ends too) of documents given as ids."""
-    value, length = table
+    starts, value, length = table
     border = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     lo = 0

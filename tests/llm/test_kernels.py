@@ -256,8 +256,9 @@ def test_words_from_ids_are_those_of_the_text():
     assert [bytes(data[a:b]).decode() for a, b in zip(offsets, offsets[1:])] == ["".join(" " + w for w in re.findall(r"[^ \t-\r]+", t.lower())) for t in texts]
     ids, border = lm_scoring.word_ids(None, *bpe.encoder().encode(data, offsets))
     ids[border[1:] - 1] = lm_scoring.END
-    starts = lm_scoring._starts(None)
+    table = lm_scoring.id_values(None)
     h, own = lm_scoring.word_hashes(data, offsets)
-    assert np.array_equal(lm_scoring.words_of_ids(lm_scoring.id_values(None, starts), starts, ids, np.diff(border)), h)
-    assert np.add.reduceat(starts[ids], border[:-1], dtype=np.int64).tolist() == np.diff(own).tolist()
+    assert np.array_equal(lm_scoring.words_of_ids(table, ids, np.diff(border)), h)
+    assert np.add.reduceat(table[0][ids], border[:-1], dtype=np.int64).tolist() == np.diff(own).tolist()
+    assert lm_scoring.id_values(None) is table
     assert all(np.array_equal(x, y) for x, y in zip(lm_scoring.distinct(h), np.unique(h, return_inverse=True)))
