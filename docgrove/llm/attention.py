@@ -206,7 +206,7 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, stride: int = STRIDE) ->
     sums = np.ones((out.shape[1], 2), x.dtype)
     sums[_starting(len(sums)) :, 1] = 0
     for limit in (None, LIMIT):
-        e = h @ out
+        e = _times(h, out)
         _exp2(e, limit)
         total = e @ sums
         if _sound(total[:, 0]):
@@ -219,13 +219,19 @@ def _product(p: dict[str, np.ndarray], left: str, right: str) -> np.ndarray:
     return p[left] @ p[right] if right == "o" else p[left] @ p[right].T * np.float32(len(p[left]) ** -0.5)
 
 
-def _outer(x: np.ndarray, y: np.ndarray, rows: int = 288) -> np.ndarray:
-    """``x.T @ y``; over many rows a block at a time, which is faster."""
-    cut = len(x) // rows * rows
-    if cut <= rows:
+BLOCK = 288  # rows of 17 or 128 numbers at a time, for which matrix products needn't be packed
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, a block of rows at a time."""
+    return (x.reshape(-1, BLOCK, x.shape[1]) @ w).reshape(len(x), -1) if len(x) % BLOCK == 0 else x @ w
+
+
+def _outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y``, a block of rows at a time."""
+    if len(x) % BLOCK:
         return x.T @ y
-    out = np.matmul(x[:cut].reshape(-1, rows, x.shape[1]).transpose(0, 2, 1), y[:cut].reshape(-1, rows, y.shape[1])).sum(0)
-    return out + x[cut:].T @ y[cut:] if cut < len(x) else out
+    return np.matmul(x.reshape(-1, BLOCK, x.shape[1]).transpose(0, 2, 1), y.reshape(-1, BLOCK, y.shape[1])).sum(0)
 
 
 def backward_classes(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray, h: np.ndarray, target: np.ndarray, factor: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -233,7 +239,7 @@ def backward_classes(p: dict[str, np.ndarray], e: np.ndarray, total: np.ndarray,
     e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + target] -= total[:, 0]
     scale = (factor / total[:, 0]).astype(e.dtype)[:, None]
     both = _outer(h * scale, e)
-    dh = e @ p["u"].T
+    dh = _times(e, np.ascontiguousarray(p["u"].T))
     dh *= scale
     return {"u": both[:-1], "b": both[-1]}, dh
 
@@ -422,7 +428,7 @@ def train_stream(p: dict[str, np.ndarray], batches, classes: Classes, batch: int
         order = rng.permutation(len(at))
         lo = 0
         while lo < len(order):
-            w = order[lo : lo + min(most, max(batch, done // 16))]
+            w = order[lo : lo + min(most, max(batch, done // 128 * 8))]
             rows = inputs_of(ids, at[w], border[doc[w]])
             valid = (span < size[w][:, None]).reshape(-1)
             target = ids[np.minimum(at[w][:, None] + span, len(ids) - 1)].reshape(-1)
