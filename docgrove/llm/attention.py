@@ -340,18 +340,18 @@ def chosen(w: np.ndarray, h: np.ndarray, ids: np.ndarray, classes: Classes, vali
 
 def backward_within(w: np.ndarray, h: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the second level's mean cross-entropy over valid targets: of ``w`` and of the hidden rows."""
-    dw, dh = np.zeros_like(w), np.zeros((len(h), h.shape[1]), h.dtype)
+    dw, dh = np.zeros_like(w), np.zeros((len(h), h.shape[1] - 1), h.dtype)
     factor = h.dtype.type(1 / max(int(np.count_nonzero(valid)), 1))
     for rows, hidden, z, total, at, parts in _second(w, h, ids, classes, valid):
         z[at] -= total
         scale = (factor / total)[:, None]
-        scaled, back = hidden * scale, np.empty_like(hidden)
+        scaled, back = hidden * scale, np.empty((len(hidden), dh.shape[1]), h.dtype)
         for i, j, s, t, own, part in parts:
             np.matmul(part.T, scaled[i:j], out=dw[s:t])
-            np.matmul(part, own, out=back[i:j])
+            np.matmul(part, own[:, :-1], out=back[i:j])
         back *= scale / LOG2E
         dh[rows] = back
-    return dw, dh[:, :-1]
+    return dw, dh
 
 
 def _add(total: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:

@@ -301,7 +301,7 @@ def score_batch(p: dict, classes: A.Classes, starts: np.ndarray, ids: np.ndarray
     following = np.append(first[1:], 0)
     word += np.where(doc_end, 0.0, edge[following])
     uni = np.where(counts > 0, (counts + 1) / total, 0.0)
-    mixed = np.log10(lam * 10.0 ** np.maximum(word, -290) + (1 - lam) * uni)
+    mixed = np.log10(lam * np.exp(np.maximum(word, -290) * np.log(10)) + (1 - lam) * uni)
     mixed = np.where((word < -290) & (uni == 0), word + np.log10(lam), mixed)
     at = np.concatenate([[0], np.cumsum(n_words)])[:-1]
     return np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(np.log10((counts + 1) / total), at), np.add.reduceat(mixed, at), np.add.reduceat(word, at)
