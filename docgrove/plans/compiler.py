@@ -39,30 +39,47 @@ class Leg:
     score: Column | None = None
 
 
+def _times(terms: Column, word: str) -> Column:
+    return F.size(F.filter(terms, lambda x: x == F.lit(word)))
+
+
 class Derived:
-    """Words of a document as an array, derived from its text."""
+    """Numbers of a document's derived words as columns of a frame, made by ``derive``; NULL where it has no text."""
+
+    def __init__(self, name: str, at: dict[str, int], phrases: dict[tuple, int], needs_norm: bool = False) -> None:
+        self.name, self.at, self.phrases, self.needs_norm = name, at, phrases, needs_norm
 
-    def __init__(self, terms: Column, norm: Column | None) -> None:
-        self.terms, self._norm = terms, norm
+    def derive(self, frame: DataFrame, terms: str) -> DataFrame:
+        """The frame with these columns. The words are bound to a variable and the columns made by a generator, through
+        which no filter is pushed: an expression in their place would analyse the text anew wherever they are used,
+        inside lambdas for each of its words."""
+
+        def numbers(t: Column) -> Column:
+            times = [_times(t, w).alias(f"{self.name}_tf_{i}") for w, i in self.at.items()]
+            return F.struct(F.when(t.isNotNull(), F.size(t)).alias(f"{self.name}_len"), *times, *[self._row(t, p).alias(f"{self.name}_row_{i}") for p, i in self.phrases.items()])
+
+        return frame.select("*", F.inline(F.transform(F.array(F.col(terms)), numbers)))
+
+    @staticmethod
+    def _row(t: Column, words: tuple) -> Column:
+        has = reduce(and_, [F.array_contains(t, F.lit(w)) for w in dict.fromkeys(words)])
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - len(words), F.lit(0)))
+        return F.when(has, F.exists(starts, lambda i: reduce(and_, [F.get(t, i + k) == F.lit(w) for k, w in enumerate(words)])))
 
     def holds(self, word: str) -> Column:
-        return F.coalesce(F.array_contains(self.terms, F.lit(word)), F.lit(False))
+        return F.coalesce(F.col(f"{self.name}_tf_{self.at[word]}") > 0, F.lit(False))
 
     def times(self, word: str) -> Column:
-        return F.size(F.filter(self.terms, lambda x: x == F.lit(word))).cast("double")
+        return F.col(f"{self.name}_tf_{self.at[word]}").cast("double")
 
     def length(self) -> Column:
-        return F.size(self.terms)
+        return F.col(f"{self.name}_len")
 
     def norm(self) -> Column | None:
-        return self._norm
+        return F.col(f"{self.name}_norm") if self.needs_norm else None
 
     def in_a_row(self, words: list[str]) -> Column:
-        n = len(words)
-        wanted = F.array(*[F.lit(w) for w in words])
-        has = reduce(and_, [F.array_contains(self.terms, F.lit(w)) for w in dict.fromkeys(words)])
-        row = F.exists(F.sequence(F.lit(1), F.greatest(F.size(self.terms) - (n - 1), F.lit(1))), lambda i: F.slice(self.terms, i, n) == wanted)
-        return F.coalesce(has & row, F.lit(False))
+        return F.coalesce(F.col(f"{self.name}_row_{self.phrases[tuple(words)]}"), F.lit(False))
 
 
 class Kept:
@@ -191,15 +208,15 @@ class Compiler:
         words = {*ranked, *self._words(tree, index)}
         n_docs, total, holding = index.kept.statistics(words) if index.kept is not None else self.statistics(index, words)
         mean = total / n_docs if n_docs else 0.0
-        norm_c = None
         if index.kept is not None:
             rows: Rows = self._kept_rows(index, tree, [w for w in sorted(set(self._words(tree, index))) if holding.get(w)], needed)
         else:
             if index.ranker.needs_norm:
                 norm = self._column("norm")
                 self.frame = self.frame.join(index.norms().withColumnRenamed("norm", norm), self.catalog.id, "left")
-                norm_c = F.col(norm)
-            rows = Derived(F.col(index.column), norm_c)
+            rows = self._derived_rows(index, tree)
+            if index.ranker.needs_norm:
+                self.frame, rows.needs_norm = self.frame.withColumnRenamed(norm, f"{rows.name}_norm"), True
         leg = self._text_leg(tree, index, n_docs, mean, holding, rows)
         weight = index.ranker.query_weight([idf(n_docs, holding[w]) for w in ranked if holding.get(w)]) or 1.0
         return Leg(leg.member, leg.score / F.lit(float(weight)))
@@ -231,6 +248,15 @@ class Compiler:
             return self._words(node.node, index)
         return [w for n in node.nodes for w in self._words(n, index)]
 
+    def _derived_rows(self, index: TextIndex, tree: Any) -> Derived:
+        """Give the frame what the query asks of each document's words."""
+        words = sorted(set(self._words(tree, index)))
+        phrases = dict.fromkeys(p for n in self._nodes(tree) if isinstance(n, Q.Phrase) if (p := tuple(index.analyzer.terms(" ".join(n.words)))))
+        rows = Derived(self._column("derived"), {w: i for i, w in enumerate(words)}, {p: i for i, p in enumerate(phrases)})
+        if words:
+            self.frame = rows.derive(self.frame, index.column)
+        return rows
+
     def _kept_rows(self, index: TextIndex, tree: Any, words: list[str], needed: bool) -> "Kept":
         """Join the kept rows of these words to the frame, a row for each document."""
         k = self._column("kept")

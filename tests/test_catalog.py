@@ -324,3 +324,20 @@ def test_lexicon_and_result_factory(spark):
     assert t.get_words(1) == ["quick", "fox", "fox"] and t.get_words(2) == [] and t.has_doc(1) and not t.has_doc(2)
     found = t.contains("fox").execute()
     assert type(found) is Counted and type(found.sort(t)) is Counted
+
+
+def analyses(df):
+    """How often a plan splits texts into words."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_phrases_analyse_a_text_once(spark):
+    """A filter that is pushed to the scan must not analyse the text again for each of its words."""
+    c = Catalog(spark.createDataFrame([(1, "a1 b1 b1 c1"), (2, "b1 a1"), (3, "b1"), (4, None), (5, ""), (6, "a1 b1 c1 a1")], "docid long, t string"))
+    c["t"] = TextIndex("t")
+    found = c["t"].contains('"a1 b1"').execute()
+    assert ids(found) == [1, 6] and analyses(found.rows) == 1
+    assert ids(c["t"].contains('"b1 b1"').execute()) == [1]
+    assert ids(c["t"].contains('"a1 b1 c1"').execute()) == [6]
+    assert ids(c["t"].contains('"a1 b1" or "b1 a1"').execute()) == [1, 2, 6]
+    assert ids(c["t"].notcontains('"a1 b1"').execute()) == [2, 3, 4, 5]
