@@ -16,6 +16,20 @@ def idf(n_docs: int, holding: int) -> float:
     return math.log(1.0 + n_docs / holding) if holding else 0.0
 
 
+def log_norm(terms: Column) -> Column:
+    """The length of the vector of log-scaled frequencies of a document's words, by runs of the sorted words."""
+
+    def weight(times: Column) -> Column:
+        return F.when(times > 0, F.pow(1.0 + F.log(times.cast("double")), F.lit(2.0))).otherwise(0.0)
+
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(s["word"] == x, F.lit(False))
+        return F.when(same, F.struct(x.alias("word"), (s["times"] + 1).alias("times"), s["sum"].alias("sum"))).otherwise(F.struct(x.alias("word"), F.lit(1).alias("times"), (s["sum"] + weight(s["times"])).alias("sum")))
+
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("times"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.sort_array(F.filter(terms, lambda x: x.isNotNull())), start, step, lambda s: F.sqrt(s["sum"] + weight(s["times"])))
+
+
 class Okapi:
     """BM25 with a saturation ``k1`` and a length correction ``b``."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions import textquery as Q
 from ..functions.analysis import glob_pattern, glob_prefix
-from ..functions.ranking import idf
+from ..functions.ranking import idf, log_norm
 from ..operators import nodes as N
 from ..operators.indexes import KeywordIndex, TextIndex
 
@@ -56,7 +56,9 @@ class Derived:
 
         def numbers(t: Column) -> Column:
             times = [_times(t, w).alias(f"{self.name}_tf_{i}") for w, i in self.at.items()]
-            return F.struct(F.when(t.isNotNull(), F.size(t)).alias(f"{self.name}_len"), *times, *[self._row(t, p).alias(f"{self.name}_row_{i}") for p, i in self.phrases.items()])
+            rows = [self._row(t, p).alias(f"{self.name}_row_{i}") for p, i in self.phrases.items()]
+            norm = [F.when(F.exists(t, lambda x: x.isin(*self.at)), log_norm(t)).alias(f"{self.name}_norm")] if self.needs_norm else []
+            return F.struct(F.when(t.isNotNull(), F.size(t)).alias(f"{self.name}_len"), *times, *rows, *norm)
 
         return frame.select("*", F.inline(F.transform(F.array(F.col(terms)), numbers)))
 
@@ -211,12 +213,7 @@ class Compiler:
         if index.kept is not None:
             rows: Rows = self._kept_rows(index, tree, [w for w in sorted(set(self._words(tree, index))) if holding.get(w)], needed)
         else:
-            if index.ranker.needs_norm:
-                norm = self._column("norm")
-                self.frame = self.frame.join(index.norms().withColumnRenamed("norm", norm), self.catalog.id, "left")
             rows = self._derived_rows(index, tree)
-            if index.ranker.needs_norm:
-                self.frame, rows.needs_norm = self.frame.withColumnRenamed(norm, f"{rows.name}_norm"), True
         leg = self._text_leg(tree, index, n_docs, mean, holding, rows)
         weight = index.ranker.query_weight([idf(n_docs, holding[w]) for w in ranked if holding.get(w)]) or 1.0
         return Leg(leg.member, leg.score / F.lit(float(weight)))
@@ -224,11 +221,10 @@ class Compiler:
     def statistics(self, index: TextIndex, words: Iterable[str]) -> tuple[int, int, dict[str, int]]:
         """Indexed documents, their words, and how many documents hold each query word; over all documents, before any filter."""
         words = sorted(set(words))
-        c = F.col(index.column)
+        c = Derived("n", {w: i for i, w in enumerate(words)}, {})
         row = (
-            self.catalog.frame()
-            .where(c.isNotNull())
-            .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(c)), F.lit(0)).alias("total"), *[F.count_if(F.array_contains(c, F.lit(w))).alias(f"f{i}") for i, w in enumerate(words)])
+            c.derive(self.catalog.frame(), index.column)
+            .agg(F.count("n_len").alias("n"), F.coalesce(F.sum("n_len"), F.lit(0)).alias("total"), *[F.count_if(F.col(f"n_tf_{i}") > 0).alias(f"f{i}") for i in range(len(words))])
             .first()
         )
         return row["n"], row["total"], {w: row[f"f{i}"] for i, w in enumerate(words)}
@@ -252,7 +248,7 @@ class Compiler:
         """Give the frame what the query asks of each document's words."""
         words = sorted(set(self._words(tree, index)))
         phrases = dict.fromkeys(p for n in self._nodes(tree) if isinstance(n, Q.Phrase) if (p := tuple(index.analyzer.terms(" ".join(n.words)))))
-        rows = Derived(self._column("derived"), {w: i for i, w in enumerate(words)}, {p: i for i, p in enumerate(phrases)})
+        rows = Derived(self._column("derived"), {w: i for i, w in enumerate(words)}, {p: i for i, p in enumerate(phrases)}, index.ranker.needs_norm)
         if words:
             self.frame = rows.derive(self.frame, index.column)
         return rows

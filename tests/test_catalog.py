@@ -341,3 +341,25 @@ def test_phrases_analyse_a_text_once(spark):
     assert ids(c["t"].contains('"a1 b1 c1"').execute()) == [6]
     assert ids(c["t"].contains('"a1 b1" or "b1 a1"').execute()) == [1, 2, 6]
     assert ids(c["t"].notcontains('"a1 b1"').execute()) == [2, 3, 4, 5]
+
+
+def test_norms_without_a_shuffle(spark):
+    c = Catalog(spark.createDataFrame([(1, "a1 b1 b1 c1 b1"), (2, "b1 a1"), (3, "c1"), (4, None), (5, "")], "docid long, t string"))
+    c["t"] = TextIndex("t", ranker=Cosine())
+    found = c["t"].contains("a1 or b1").execute()
+    assert "Join" not in found.rows._jdf.queryExecution().optimizedPlan().toString() and analyses(found.rows) == 1
+    weight = {"a1": math.log(1 + 4 / 2), "b1": math.log(1 + 4 / 2)}
+    query, three = math.hypot(*weight.values()), 1 + math.log(3)
+    want = {1: (weight["a1"] + three * weight["b1"]) / math.sqrt(2 + three**2) / query, 2: sum(weight.values()) / math.sqrt(2) / query}
+    assert {r[0]: r[1] for r in found.scores().collect()} == pytest.approx(want)
+
+
+def test_statistics_analyse_a_text_once(spark, monkeypatch):
+    from docgrove.plans.compiler import Compiler
+
+    c = Catalog(spark.createDataFrame([(1, "a1 b1 b1"), (2, "b1"), (3, "c1"), (4, None), (5, "")], "docid long, t string"))
+    c["t"] = TextIndex("t")
+    plans, first = [], type(c.documents).first
+    monkeypatch.setattr(type(c.documents), "first", lambda df: plans.append(df) or first(df))
+    assert Compiler(c).statistics(c["t"], ["a1", "b1", "d1"]) == (4, 5, {"a1": 1, "b1": 2, "d1": 0})
+    assert [analyses(p) for p in plans] == [1]
