@@ -231,7 +231,8 @@ class TextIndex(Index):
 
     def store(self, path: str) -> "TextIndex":
         """Write the index's postings to a folder; from now on queries read them and maintenance keeps them up to date."""
-        self.kept = self._folder(path).write(self.analysed(self.catalog.documents))
+        kept = self._folder(path)
+        self.kept = kept.write(self.analysed(kept.spread(self.catalog.documents)))
         return self
 
     def _folder(self, path: str) -> PostingStore:

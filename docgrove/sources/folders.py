@@ -55,5 +55,9 @@ class Folder:
         self._fs.delete(whole, False)
         self._fs.rename(part, whole)
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below."""
+        return self._fs.getContentSummary(self._path(f"{self.path}/{name}")).getLength()
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)

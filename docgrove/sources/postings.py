@@ -2,10 +2,10 @@
 
 A store is a folder of segments. A segment has
 
-* ``forward``: id, length, norm and words (term, tf, places) of its documents, in
-  buckets by id, so that the words of a few documents are found without a scan;
-* ``postings``: term, id, tf, length, norm, places, in buckets by term and sorted by
-  term within, so that a word's rows are a few row groups;
+* ``forward``: id, length, norm and words (term, tf, places) of its documents, sorted
+  by a bucket of the id, so that the words of a few documents are a few pages;
+* ``postings``: term, id, tf, length, norm, places, in buckets by term, of one or more
+  files sorted by term, so that a word's rows are a few row groups;
 * ``terms``: term, df, cf, sorted by term; a segment that replaces documents holds
   differences, so that sums over segments are right;
 * ``gone``: ids that the segment replaced in earlier ones.
@@ -14,23 +14,28 @@ A change writes one small segment for the changed documents alone; ``compact``
 merges all into one. A manifest, published last, lists segments and totals;
 readers keep the version that they opened.
 
-A hot word's rows are split over tasks by ``rebalance``; nothing is collected but
-numbers of the query's own words and at most ``FEW`` changed ids.
+Texts are shuffled once, before they are analysed; their words are counted within
+tasks, and postings shuffled as compressed blocks (see ``blocks``) to parts of a size
+that a task sorts in memory. A hot word's rows lie in as many parts as its bucket has.
+Nothing is collected but numbers of the query's own words and at most ``FEW`` changed ids.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import BUCKETS
 from .folders import Folder
 
-BUCKETS = 64
 FEW = 1000
+#: Bytes of forward rows whose postings, some million, make a part.
+PART = 8 << 20
 
 
 class PostingStore:
@@ -57,12 +62,12 @@ class PostingStore:
     def _bucket(self, c: str | Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
-    def _live(self, table: str, some: Column | None = None, only: DataFrame | None = None) -> DataFrame | None:
-        """Rows of all segments, without documents that a later one replaced."""
+    def _live(self, table: str, some: Column | Callable[[dict], Column] | None = None, only: DataFrame | None = None) -> DataFrame | None:
+        """Rows of all segments, without documents that a later one replaced; ``some`` may be a function of a segment."""
         parts, gone = [], []
         for s in reversed(self.state["segments"]):
             rows = self._read(s["name"], table)
-            rows = rows if some is None else rows.where(some)
+            rows = rows if some is None else rows.where(some(s) if callable(some) else some)
             rows = rows if only is None else rows.join(only, self.id, "left_semi")
             if gone:
                 rows = rows.join(reduce(DataFrame.union, gone), self.id, "left_anti")
@@ -85,10 +90,11 @@ class PostingStore:
         """term, id, tf, length, norm, places of the given words."""
         if self._kept is not None:
             return self._kept.where(F.col("term").isin(*words))
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[self._bucket(F.lit(w)) for w in words]))).distinct().collect()] if len(words) > 1 else None
         some = F.col("term").isin(*words)
-        some = (F.col("bucket").isin(*buckets) if buckets else F.col("bucket") == self._bucket(F.lit(words[0]))) & some
-        return self._live("postings", some).drop("bucket")
+        buckets = {"crc32": sorted({blocks.bucket_of(w.encode()) for w in words})}
+        if not all("hash" in s for s in self.state["segments"]):  # segments of earlier versions
+            buckets["xxhash64"] = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[self._bucket(F.lit(w)) for w in words]))).distinct().collect()]
+        return self._live("postings", lambda s: F.col("bucket").isin(*buckets[s.get("hash", "xxhash64")]) & some).drop("bucket")
 
     def matching(self, prefix: str, pattern: str) -> DataFrame:
         """term, id, tf, length, norm, df of the words that match a pattern with a literal beginning."""
@@ -107,32 +113,43 @@ class PostingStore:
 
     # writing
 
-    def _forward(self, rows: DataFrame) -> DataFrame:
-        """Forward rows of (id, terms)."""
-        at = rows.where(F.col("terms").isNotNull()).select(self.id, "terms").repartition(self.id)
-        at = at.select(self.id, F.posexplode_outer("terms").alias("place", "term"))
-        words = at.groupBy(self.id, "term").agg(F.count("term").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-        found = words.groupBy(self.id).agg(F.sum("tf").alias("length"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf", "places"))).alias("words"))
-        norm = F.sqrt(F.aggregate("words", F.lit(0.0), lambda a, w: a + F.pow(1.0 + F.log(w["tf"].cast("double")), F.lit(2.0))))
-        return found.withColumn("norm", norm).withColumn("bucket", self._bucket(self.id))
-
-    def _write(self, forward: DataFrame, minus: DataFrame | None, gone: DataFrame | None) -> tuple[dict, int, int]:
+    def spread(self, documents: DataFrame) -> DataFrame:
+        """The documents in the order of forward rows. Few bytes move if this is done before their texts are analysed."""
+        return documents.withColumn("_docgrove_bucket", self._bucket(self.id)).hint("rebalance", "_docgrove_bucket").sortWithinPartitions("_docgrove_bucket", self.id)
+
+    def _forward(self, rows: DataFrame, unique: bool = False) -> DataFrame:
+        """Forward rows of (id, terms). Rows that repeat an id become one document, with a gap between them."""
+        if not unique and rows.groupBy(self.id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect():
+            gap = F.array(F.lit(None).cast("string"))
+            rows = rows.where(F.col("terms").isNotNull()).groupBy(self.id).agg(F.flatten(F.collect_list(F.concat("terms", gap))).alias("terms"))
+        return rows.select(self.id, "terms", self._bucket(self.id).alias("bucket")).mapInArrow(blocks.count_words(self.id), self._schema["forward"])
+
+    def _postings(self, forward: DataFrame, path: str) -> DataFrame:
+        """Postings of forward rows that were written to a folder."""
+        parts = max(1, -(-self.folder.size(path) // PART))
+        slices = -(-parts // BUCKETS)
+        packed = forward.select(self.id, "length", "norm", "words").mapInArrow(blocks.pack(slices, parts), "part int, block binary")
+        packed = packed.repartitionById(slices * BUCKETS if slices > 1 else parts, "part")
+        return packed.mapInArrow(blocks.unpack(self.id), self._schema["postings"])
+
+    def _write(self, forward: DataFrame, minus: DataFrame | None, gone: bool, name: str | None = None) -> tuple[dict, int, int]:
         """A segment of these documents; its entry, documents and words."""
-        name = f"s-{uuid.uuid4().hex}"
+        name = name or self._name()
         at = f"{self.folder.path}/{name}"
-        forward.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.id).write.partitionBy("bucket").parquet(f"{at}/forward")
+        forward.write.parquet(f"{at}/forward")
         forward = self._read(name, "forward")
-        each = forward.select(self.id, "length", "norm", F.explode("words").alias("w")).select("w.term", self.id, "w.tf", "length", "norm", "w.places", self._bucket("w.term").alias("bucket"))
-        each.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", self.id).write.partitionBy("bucket").parquet(f"{at}/postings")
-        signed = each.select("term", F.lit(1).alias("d"), "tf")
+        self._postings(forward, f"{name}/forward").sortWithinPartitions("bucket", "term", self.id).write.partitionBy("bucket").parquet(f"{at}/postings")
+        signed = self._read(name, "postings").select("term", F.lit(1).alias("d"), "tf")
         if minus is not None:
             signed = signed.union(minus.select(F.explode("words").alias("w")).select("w.term", F.lit(-1), -F.col("w.tf")))
         terms = signed.groupBy("term").agg(F.sum("d").alias("df"), F.sum("tf").alias("cf"))
         terms.orderBy("term").write.parquet(f"{at}/terms")
-        if gone is not None:
-            gone.select(self.id).write.parquet(f"{at}/gone")
         total = forward.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("w")).first()
-        return {"name": name, "gone": gone is not None}, total["n"], total["w"]
+        return {"name": name, "gone": gone, "hash": "crc32"}, total["n"], total["w"]
+
+    @staticmethod
+    def _name() -> str:
+        return f"s-{uuid.uuid4().hex}"
 
     def _publish(self, segments: list[dict], documents: int, words: int) -> None:
         self.version += 1
@@ -146,13 +163,15 @@ class PostingStore:
 
     def write(self, rows: DataFrame) -> "PostingStore":
         """Index (id, terms) anew; null terms are documents without a text."""
-        entry, n, words = self._write(self._forward(rows), None, None)
+        entry, n, words = self._write(self._forward(rows), None, False)
         self._publish([entry], n, words)
         return self
 
     def update(self, ids: DataFrame, rows: DataFrame | None) -> "PostingStore":
         """Replace the documents of the given ids by (id, terms) rows; without rows they are deleted."""
-        ids = ids.select(self.id).distinct()
+        name = self._name()
+        ids.select(self.id).distinct().write.parquet(f"{self.folder.path}/{name}/gone")
+        ids = self._read(name, "gone")
         few = [r[0] for r in ids.limit(FEW + 1).collect()]
         buckets = [r[0] for r in ids.select(self._bucket(self.id)).distinct().collect()]
         some = F.col("bucket").isin(*buckets)
@@ -160,7 +179,7 @@ class PostingStore:
         total = old.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("w")).first() if old is not None else {"n": 0, "w": 0}
         if rows is None:
             rows = ids.select(self.id, F.lit(None).cast("array<string>").alias("terms")).limit(0)
-        entry, n, words = self._write(self._forward(rows), old, ids)
+        entry, n, words = self._write(self._forward(rows, True), old, True, name)
         self._publish([*self.state["segments"], entry], self.state["documents"] + n - total["n"], self.state["words"] + words - total["w"])
         return self
 
@@ -170,7 +189,7 @@ class PostingStore:
         if live is None or len(self.state["segments"]) == 1:
             return self
         old, before = self.state["segments"], self.version
-        entry, n, words = self._write(live, None, None)
+        entry, n, words = self._write(live.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.id), None, False)
         self._publish([entry], n, words)
         for v in [v for v in self.folder.versions() if v <= before]:
             self.folder.remove(f"v{v}.json")

@@ -363,3 +363,61 @@ def test_statistics_analyse_a_text_once(spark, monkeypatch):
     monkeypatch.setattr(type(c.documents), "first", lambda df: plans.append(df) or first(df))
     assert Compiler(c).statistics(c["t"], ["a1", "b1", "d1"]) == (4, 5, {"a1": 1, "b1": 2, "d1": 0})
     assert [analyses(p) for p in plans] == [1]
+
+
+def test_kept_words_are_counted_without_a_shuffle(spark, tmp_path):
+    """Forward rows come from a document's own words, in order, with nulls among them or none at all."""
+    from docgrove.sources.postings import PostingStore
+
+    kept = PostingStore(spark, f"file://{tmp_path}/t", "docid")
+    rows = spark.createDataFrame([(1, ["b1", "a1", "b1", None, "c1"]), (2, []), (3, None), (4, [None]), (-5, ["ä1"])], "docid long, terms array<string>").coalesce(1)
+    forward = kept._forward(rows)
+    assert "Exchange" not in forward._jdf.queryExecution().executedPlan().toString()
+    got = {r["docid"]: (r["length"], {w["term"]: (w["tf"], w["places"]) for w in r["words"]}, r["norm"]) for r in forward.collect()}
+    want = {1: (4, {"a1": (1, [1]), "b1": (2, [0, 2]), "c1": (1, [4])}, math.sqrt(2 + (1 + math.log(2)) ** 2)), 2: (0, {}, 0.0), 4: (0, {}, 0.0), -5: (1, {"ä1": (1, [0])}, 1.0)}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k][2] == pytest.approx(v[2]) for k, v in want.items())
+
+
+@pytest.mark.parametrize("part", [1 << 30, 2000, 20])
+def test_kept_postings_in_parts(spark, tmp_path, monkeypatch, part):
+    """One part, some for the buckets, slices of each bucket: the same postings, a bucket of a word holds them all."""
+    from docgrove.sources import blocks, postings
+
+    monkeypatch.setattr(postings, "PART", part)
+    docs = spark.range(300).selectExpr("id AS docid", "concat_ws(' ', 'all1', 'w' || id % 50, 'w' || id % 7, 'x' || id) AS t").repartition(3)
+    c = Catalog(docs, "docid")
+    c["t"] = TextIndex("t")
+    c["t"].store(f"file://{tmp_path}/t")
+    kept = c["t"].kept
+    want = {}
+    for d in range(300):
+        for place, w in enumerate(["all1", f"w{d % 50}", f"w{d % 7}", f"x{d}"]):
+            want.setdefault((w, d), []).append(place)
+    got = kept._read(kept.state["segments"][0]["name"], "postings").collect()
+    assert {(r["term"], r["docid"]): r["places"] for r in got} == want and len(got) == len(want)
+    assert all(r["tf"] == len(r["places"]) and r["length"] == 4 and r["bucket"] == blocks.bucket_of(r["term"].encode()) for r in got)
+    assert kept.postings(["all1"]).count() == 300 and ids(c["t"].contains('"w3 w3" or x299').execute()) == [*[d for d in range(300) if d % 50 == d % 7 == 3], 299]
+    terms = {r["term"]: (r["df"], r["cf"]) for r in kept._read(kept.state["segments"][0]["name"], "terms").collect()}
+    assert terms["all1"] == (300, 300) and terms["x7"] == (1, 1) and len(terms) == 351
+
+
+def test_kept_postings_of_repeated_ids_and_earlier_versions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docgrove.sources.postings import PostingStore
+
+    rows = spark.createDataFrame([(1, ["a1", "b1"]), (1, ["c1", "a1"]), (2, ["a1"]), (3, None)], "docid long, terms array<string>")
+    kept = PostingStore(spark, f"file://{tmp_path}/t", "docid").write(rows)
+    got = {(r["term"], r["docid"]): r["places"] for r in kept.postings(["a1", "b1", "c1"]).collect()}
+    assert got == {("a1", 1): [0, 4], ("b1", 1): [1], ("c1", 1): [3], ("a1", 2): [0]}  # a gap between the rows
+    assert kept.statistics(["a1"]) == (2, 5, {"a1": 2})
+    # a segment without the name of its hash has buckets by xxhash64, as earlier versions wrote them
+    (segment,) = kept.state["segments"]
+    at = f"{kept.folder.path}/{segment['name']}/postings"
+    spark.read.parquet(at).withColumn("bucket", kept._bucket(F.col("term"))).write.partitionBy("bucket").parquet(f"{at}-old")
+    old = PostingStore(spark, f"file://{tmp_path}/t", "docid")
+    old.state["segments"] = [{"name": segment["name"], "gone": False}]
+    old._schema["postings"], read = kept._schema["postings"], old._read
+    old._read = lambda s, table: spark.read.schema(old._schema[table]).parquet(f"{at}-old") if table == "postings" else read(s, table)
+    assert old.postings(["a1"]).count() == 2 and old.postings(["a1", "c1"]).count() == 3
