@@ -34,6 +34,8 @@ from .blocks import BUCKETS
 from .folders import Folder
 
 FEW = 1000
+#: As many replaced ids are sent to all executors (8 bytes each); with more, documents' words are shuffled to meet them.
+SENT = 2_000_000
 #: Bytes of forward rows whose postings, some million, make a part.
 PART = 8 << 20
 
@@ -64,18 +66,23 @@ class PostingStore:
 
     def _live(self, table: str, some: Column | Callable[[dict], Column] | None = None, only: DataFrame | None = None) -> DataFrame | None:
         """Rows of all segments, without documents that a later one replaced; ``some`` may be a function of a segment."""
-        parts, gone = [], []
+        parts, gone, many = [], [], 0
         for s in reversed(self.state["segments"]):
             rows = self._read(s["name"], table)
             rows = rows if some is None else rows.where(some(s) if callable(some) else some)
             rows = rows if only is None else rows.join(only, self.id, "left_semi")
             if gone:
-                rows = rows.join(reduce(DataFrame.union, gone), self.id, "left_anti")
+                rows = rows.join(self._sent(reduce(DataFrame.union, gone), many), self.id, "left_anti")
             parts.append(rows)
             if s["gone"]:
                 gone.append(self._read(s["name"], "gone"))
+                many += s.get("ids", SENT + 1)
         return reduce(DataFrame.unionByName, parts) if parts else None
 
+    @staticmethod
+    def _sent(ids: DataFrame, many: int) -> DataFrame:
+        return F.broadcast(ids) if many <= SENT else ids
+
     def statistics(self, words: Iterable[str]) -> tuple[int, int, dict[str, int]]:
         """Documents, their words, and how many documents hold each of the given words; known numbers are remembered."""
         words = sorted(set(words))
@@ -172,15 +179,16 @@ class PostingStore:
         name = self._name()
         ids.select(self.id).distinct().write.parquet(f"{self.folder.path}/{name}/gone")
         ids = self._read(name, "gone")
+        many = ids.count()
         few = [r[0] for r in ids.limit(FEW + 1).collect()]
         buckets = [r[0] for r in ids.select(self._bucket(self.id)).distinct().collect()]
         some = F.col("bucket").isin(*buckets)
-        old = self._live("forward", some & F.col(self.id).isin(*few)) if len(few) <= FEW else self._live("forward", some, ids)
+        old = self._live("forward", some & F.col(self.id).isin(*few)) if len(few) <= FEW else self._live("forward", some, self._sent(ids, many))
         total = old.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("w")).first() if old is not None else {"n": 0, "w": 0}
         if rows is None:
             rows = ids.select(self.id, F.lit(None).cast("array<string>").alias("terms")).limit(0)
         entry, n, words = self._write(self._forward(rows, True), old, True, name)
-        self._publish([*self.state["segments"], entry], self.state["documents"] + n - total["n"], self.state["words"] + words - total["w"])
+        self._publish([*self.state["segments"], entry | {"ids": many}], self.state["documents"] + n - total["n"], self.state["words"] + words - total["w"])
         return self
 
     def compact(self) -> "PostingStore":

@@ -421,3 +421,23 @@ def test_kept_postings_of_repeated_ids_and_earlier_versions(spark, tmp_path):
     old._schema["postings"], read = kept._schema["postings"], old._read
     old._read = lambda s, table: spark.read.schema(old._schema[table]).parquet(f"{at}-old") if table == "postings" else read(s, table)
     assert old.postings(["a1"]).count() == 2 and old.postings(["a1", "c1"]).count() == 3
+
+
+def test_replaced_documents_are_not_shuffled_by_their_words(spark, tmp_path, monkeypatch):
+    """Replaced ids are sent to the words of documents, though they are more than are looked up by value, and are written once."""
+    from docgrove.sources import postings
+
+    monkeypatch.setattr(postings, "FEW", 3)
+    c = Catalog(spark.range(40).selectExpr("id AS docid", "'fox a' || id % 4 AS t"), "docid")
+    c["t"] = TextIndex("t")
+    c["t"].store(f"file://{tmp_path}/t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c.index_docs(c.documents.where("docid % 4 = 1").selectExpr("docid", "'b1 fox' AS t")).unindex_docs(c.documents.where("docid % 4 = 2"))
+        kept = c["t"].kept
+        assert kept.statistics(["fox", "a1", "a2", "b1"]) == (30, 60, {"fox": 30, "a1": 0, "a2": 0, "b1": 10})
+        assert ids(c["t"].contains("fox").execute()) == [i for i in range(40) if i % 4 != 2] and ids(c["t"].contains("b1").execute()) == list(range(1, 40, 4))
+        assert [s.get("ids", 0) for s in kept.state["segments"]] == [0, 10, 10]
+        assert "SortMergeJoin" not in kept._live("forward")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
